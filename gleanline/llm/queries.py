@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op3_sharding
+from gleanline.llm import op3_sharding, op4_quality, op9_toxicity
 
-QUERIES = {"op3_sharding": op3_sharding.query}
+QUERIES = {
+    "op3_sharding": op3_sharding.query,
+    "op4_quality": op4_quality.query,
+    "op9_toxicity": op9_toxicity.query,
+}
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,7 @@ SLICE_BYTES = 4_000_000
 LONG_WORD = 128
 
 _U = np.uint64
-_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=_U)
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=_U)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words between white space: bytes other than 0x20 and 0x09-0x0D.
@@ -77,14 +77,19 @@ class TextBatch:
         return np.repeat(np.arange(len(self.docs) - 1, dtype=np.int32), self.n_words)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as a number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = (end - start).astype(np.int64)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    eights = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    eight = eights(data)
     out = mix(size.astype(_U) + _U(0x632BE59BD9B4E019))
     live, at = np.nonzero(size <= LONG_WORD)[0], 0
     while len(live):
-        chunk = eights[start[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        chunk = eight[start[live] + at] & MASKS[np.minimum(size[live] - at, 8)]
         out[live] = mix((out[live] ^ chunk) * _U(0xD6E8FEB86659FD93))
         at += 8
         live = live[size[live] > at]
