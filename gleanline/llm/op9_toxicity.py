@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanline.llm import textbatch
 from gleanline.llm.common import cut, documents
@@ -171,10 +172,15 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (with a column text) with score, and the code-point range and score of the worst sentence (null if none)."""
+def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], names: tuple[str, str, str, str] = ("score", "worst_start", "worst_end", "worst_score")) -> DataFrame:
+    """docs (with a column text) with score, and the code-point range and score of the worst sentence (null if none).
+
+    A column of docs that has one of these names is replaced; give other names to keep it.
+    """
+    docs = docs.drop(*names)
     bias, used, weights = model
-    schema = docs.schema.add("score", "double").add("worst_start", "long").add("worst_end", "long").add("worst_score", "double")
+    kinds = [T.DoubleType(), T.LongType(), T.LongType(), T.DoubleType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True))])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS)
@@ -194,7 +200,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
                 spans[at, 0], spans[at, 1], top[at] = points[t.start[first]] - base, points[t.end[last]] - base, p[lead]
             none = spans[:, 0] < 0
             extra = [pa.array(whole), pa.array(spans[:, 0], mask=none), pa.array(spans[:, 1], mask=none), pa.array(top, mask=none)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "score", "worst_start", "worst_end", "worst_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
     return docs.mapInArrow(scored, schema)
 
@@ -209,4 +215,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents that score below THRESHOLD, with their columns as they were."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    names = ("_tox_score", "_tox_start", "_tox_end", "_tox_worst")
+    return score(docs, model, names).filter(F.col("_tox_score") < THRESHOLD).select(*docs.columns)
