@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op3_sharding, op4_quality, op9_toxicity
+from gleanline.llm import op2_lines, op3_sharding, op4_quality, op5_packing, op9_toxicity
 
 QUERIES = {
+    "op2_lines": op2_lines.query,
     "op3_sharding": op3_sharding.query,
     "op4_quality": op4_quality.query,
+    "op5_packing": op5_packing.query,
     "op9_toxicity": op9_toxicity.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_lines": op2_lines.ORACLE,
+}
