@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op2_lines, op3_sharding, op4_quality, op5_packing, op9_toxicity
+from gleanline.llm import op1_decontamination, op2_lines, op3_sharding, op4_quality, op5_packing, op8_warc, op9_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination.query,
     "op2_lines": op2_lines.query,
     "op3_sharding": op3_sharding.query,
     "op4_quality": op4_quality.query,
     "op5_packing": op5_packing.query,
+    "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
 }
 ORACLES = {
+    "op8_warc": op8_warc.ORACLE,
     "op2_lines": op2_lines.ORACLE,
 }
