@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op1_decontamination, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op8_warc, op9_toxicity
+from gleanline.llm import op1_decontamination, op10_jaccard, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op8_warc, op9_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": op6_pii.query,
     "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
+    "op10_jaccard": op10_jaccard.query,
 }
 ORACLES = {
     "op8_warc": op8_warc.ORACLE,
