@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op1_decontamination, op10_jaccard, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op8_warc, op9_toxicity
+from gleanline.llm import op1_decontamination, op10_jaccard, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op7_extraction, op8_warc, op9_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": op4_quality.query,
     "op5_packing": op5_packing.query,
     "op6_pii": op6_pii.query,
+    "op7_extraction": op7_extraction.query,
     "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_jaccard": op10_jaccard.query,
