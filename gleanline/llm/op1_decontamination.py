@@ -36,7 +36,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """The words of a text; none for a null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP, -1), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP, -1), "")
 
 
 def _gram(at: Column, n: int = K, of: str = "w") -> Column:
@@ -50,14 +50,16 @@ def _positions(n: Column) -> Column:
 def fingerprints(rows: DataFrame, keep: list[str]) -> DataFrame:
     """keep, w, p, f: per window of grams its least hash f, the rightmost of equals, at place p in the word list w."""
     width = SPAN - K + 1
-    grams = rows.filter(F.size("w") >= SPAN).withColumn("g", F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: _gram(i)))
-    start = grams.select(*keep, "w", "g", F.explode(_positions(F.size("g") - (width - 1))).alias("s"))
-    least = F.least(*(F.get("g", F.col("s") + j) for j in range(width)))
-    last = F.least(*(F.get("g", F.when(F.col("s") >= 1, F.col("s") - 1 + j)) for j in range(width)))
-    place = F.col("s") + F.coalesce(*(F.when(F.get("g", F.col("s") + j) == F.col("f"), F.lit(j)) for j in reversed(range(width))))
+    # rows of fewer words have no grams (null) and so no windows; a filter on the number of words would split all texts twice
+    hashed = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    grams = hashed.select(*keep, "w", F.transform(F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - K)), lambda i: _gram(i, of="h")).alias("g"))
+    least = grams.select(*keep, "w", "g", F.transform(F.sequence(F.lit(0), F.size("g") - width), lambda s: F.least(*(F.get("g", s + j) for j in range(width)))).alias("m"))
+    # a computed input: for a plain column a filter on its size would be derived, and that would take the lambdas in one another's place
+    start = least.select(*keep, "w", "g", "m", F.posexplode(F.slice("m", 1, F.size("g") - width + 1)).alias("s", "f"))
     # a window whose least gram is also the one before's adds nothing, unless a later equal has come in
-    found = start.withColumn("f", least).filter((F.col("s") == 0) | (F.col("f") != last) | (F.get("g", F.col("s") + width - 1) == F.col("f")))
-    return found.select(*keep, "w", place.alias("p"), "f")
+    found = start.filter((F.col("s") == 0) | (F.get("m", F.col("s") - 1) != F.col("f")) | (F.get("g", F.col("s") + width - 1) == F.col("f")))
+    place = F.col("s") + width - F.array_position(F.reverse(F.slice("g", F.col("s") + 1, width)), F.col("f"))
+    return found.select(*keep, "w", place.cast("int").alias("p"), "f")
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -66,13 +68,20 @@ def items(benchmark: DataFrame) -> DataFrame:
     return rows.filter(F.size("w") > 0).distinct().withColumn("n", F.size("w"))
 
 
-def _reach(doc: Column, at: Column, item: Column, q: Column, step: int, most: int) -> Column:
-    """How many words in a row agree from the places at and q on, in the direction of step, at most `most`."""
-    same = [(F.get(doc, at + step * j) == F.get(item, q + step * j)) if step > 0 else F.when((at >= j) & (q >= j), F.get(doc, F.when(at >= j, at - j)) == F.get(item, F.when(q >= j, q - j))) for j in range(1, most + 1)]
-    out = F.lit(most)
-    for j in reversed(range(most)):
-        out = F.when(F.coalesce(same[j], F.lit(False)), out).otherwise(F.lit(j))
-    return out
+def _reach(a: Column, b: Column) -> Column:
+    """How many words in a row agree from the beginning of both lists on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+
+
+def _before(words_: str, at: str) -> Column:
+    """The words before a place, the nearest first, as far as a window that holds the gram there can reach."""
+    return F.reverse(F.slice(words_, F.greatest(F.col(at) - (SPAN - K), F.lit(0)) + 1, F.least(F.col(at), F.lit(SPAN - K))))
+
+
+def _after(words_: str, at: str) -> Column:
+    return F.slice(words_, F.col(at) + K + 1, SPAN - K)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -94,12 +103,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     else:
         pairs = doc_marks.join(F.broadcast(marks), "f")
     if n_marks:
-        reach = pairs.filter(F.slice("w", F.col("p") + 1, K) == F.slice("iw", F.col("q") + 1, K)).select(
-            "doc_id", "item_id", (F.col("p") + F.col("o")).alias("p"),
-            _reach(F.col("w"), F.col("p"), F.col("iw"), F.col("q"), -1, SPAN - K).alias("left"),
-            _reach(F.col("w"), F.col("p") + K - 1, F.col("iw"), F.col("q") + K - 1, 1, SPAN - K).alias("right"),
-        )
-        found.append(reach.filter(F.col("left") + F.col("right") + K >= SPAN).select("doc_id", "item_id", (F.col("p") - F.col("left")).alias("lo"), (F.col("p") + K + F.col("right")).alias("hi")))
+        ends = F.struct(_reach(_before("w", "p"), _before("iw", "q")).alias("left"), _reach(_after("w", "p"), _after("iw", "q")).alias("right"))
+        # as a generator, so that no part of it becomes a join condition: the join then hands on matches alone, without copying word lists
+        long = F.explode(F.filter(F.array(ends), lambda x: x["left"] + x["right"] + K >= SPAN)).alias("e")
+        reach = pairs.filter(F.slice("w", F.col("p") + 1, K) == F.slice("iw", F.col("q") + 1, K)).select("doc_id", "item_id", (F.col("p") + F.col("o")).alias("p"), long)
+        found.append(reach.select("doc_id", "item_id", (F.col("p") - F.col("e.left")).alias("lo"), (F.col("p") + K + F.col("e.right")).alias("hi")))
     for size in sorted({min(n, K) for n in lengths}):
         first = short.filter(F.least("n", F.lit(K)) == size).select(_gram(F.lit(0), size).alias("f"), "item_id", F.col("w").alias("iw"))
         at = rows.filter(F.size("w") >= size).select("doc_id", "w", F.explode(_positions(F.size("w") - (size - 1))).alias("p")).withColumn("f", _gram(F.col("p"), size))
