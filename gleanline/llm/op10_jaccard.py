@@ -14,7 +14,12 @@ Only documents that may have a partner reach the join, by bounds that lose no li
    Sequences share nodes as long as they agree, a node's records are one range, and all nodes of one
    shingle are compared pairwise: the overlap of their paths counts for all records below at once, and
    node pairs are cut by size bounds, by what length remains behind the node, and where all records
-   carry one label. What is left are candidate pairs of different labels, which are then verified.
+   carry one label. Bitmaps of both shingle lists bound their overlap from above and rule out most of
+   the rest exactly. What is left are candidate pairs of different labels.
+6. A round tests at most ROUND_PARTNERS candidates of each class of a part, of as many labels, by
+   their lists; the links found join labels, and the parts that had candidates go into the next round,
+   which leaves out what was tested. The rounds end when no pair of different labels is left untested:
+   a large group of near copies thus takes a number of tests in proportion to its size in each round.
 
 Classes linked to each other, directly or not, form a component; its id is the least doc_id.
 
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +49,10 @@ PERCENT = 80
 RANGE, BUCKET, PART, VERIFY_BYTES = 3_000_000, 1_000_000, 100_000, 16_000_000
 #: Text that a task gathers before it ships its runs.
 GATHER_BYTES = 32_000_000
+#: Bits of a class's bitmap: of one size, as a class is shipped to as many parts as its prefix meets.
+BITMAP = 512
+#: Candidates that a round takes from a class of a part; the rest are left to later rounds.
+ROUND_PARTNERS = 8
 #: Least hashes by which leaders are found.
 SEEDS = (0x51ED270B, 0xA24BAED5, 0x9FB21C65, 0x3C6EF372)
 _U = np.uint64
@@ -174,10 +184,17 @@ def unpack48(raw: bytes) -> np.ndarray:
     return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).view("<u8").ravel()
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """BITMAP bits that say which low bits the hashes have."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(own & _U(BITMAP - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def survivors(entries: DataFrame) -> DataFrame:
-    """(cls, n, shared, list, prefix, dfs, minima): classes with enough shared shingles to have a partner.
+    """(cls, n, shared, list, prefix, dfs, bits, minima): classes with enough shared shingles to have a partner.
 
-    list: their shared shingles, sorted by hash; prefix, dfs: the rarest, in the global order; minima: least hashes.
+    list: their shared shingles, sorted by hash; prefix, dfs: the rarest, in the global order; bits: a bitmap of the list; minima: least hashes.
     """
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
@@ -190,11 +207,11 @@ def survivors(entries: DataFrame) -> DataFrame:
             p = (b - a) - need(int(n[a])) + 1
             if p > 0:
                 own = h[a:b]
-                rows.append((int(c[a]), int(n[a]), int(b - a), pack48(np.sort(own)), pack48(own[:p]), df[a : a + p].astype("<u4").tobytes(), [int(textbatch.mix(own ^ _U(s)).min() >> _U(1)) for s in SEEDS]))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], ["cls", "n", "shared", "list", "prefix", "dfs", "minima"])
+                rows.append((int(c[a]), int(n[a]), int(b - a), pack48(np.sort(own)), pack48(own[:p]), df[a : a + p].astype("<u4").tobytes(), bitmap(own), [int(textbatch.mix(own ^ _U(s)).min() >> _U(1)) for s in SEEDS]))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], ["cls", "n", "shared", "list", "prefix", "dfs", "bits", "minima"])
 
-    return entries.groupBy("bucket").applyInArrow(gather, "cls long, n int, shared int, list binary, prefix binary, dfs binary, minima array<long>")
+    return entries.groupBy("bucket").applyInArrow(gather, "cls long, n int, shared int, list binary, prefix binary, dfs binary, bits binary, minima array<long>")
 
 
 def verified(pairs: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
@@ -253,16 +270,24 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return labels
 
 
-def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
-    """Candidate pairs of records (as indices) with different labels that share a token.
+def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.ndarray, place: list[np.ndarray], raw: list[bytes], tested: set[tuple[int, int]], most: int = ROUND_PARTNERS) -> tuple[np.ndarray, np.ndarray]:
+    """Untested candidate pairs of records (as indices) with different labels that share a token, and all records in any.
 
     tokens: each record's tokens in the global order; place: where each stands in the record's whole
-    list; n, size: each record's numbers of shingles and of shared ones.
+    list; n, size: each record's numbers of shingles and of shared ones; raw: bitmaps; tested: pairs
+    (lesser index first) to leave out. At most `most` partners of a record, each of another label: if
+    there are none at all, there is no further pair.
     """
+    bits = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
+    live = np.zeros(len(raw), bool)
+    met: dict[int, set[int]] = {}
     order = sorted(range(len(tokens)), key=tokens.__getitem__)
-    n, size, label = n[order], size[order], label[order]
+    n, size, label, place_of = n[order], size[order], label[order], np.array(order, np.int64)
     # the trie: a node is a token and the range of (sorted) records whose sequences run through it
-    node_token, node_lo, node_hi, node_depth, node_parent = [], [], [], [], []
+    node_token, node_lo, node_hi, node_depth, node_root = [], [], [], [], []
+    length = np.array([len(x) for x in place], np.int64)
+    flat = np.concatenate(place) if len(place) else np.zeros(0, np.int64)
+    base = (np.cumsum(length) - length)[place_of]
     path: list[int] = []
     before: tuple = ()
     for k, i in enumerate(order):
@@ -271,7 +296,7 @@ def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.n
             same += 1
         del path[same:]
         for depth in range(same, len(seq)):
-            node_parent.append(path[-1] if path else -1)
+            node_root.append(path[0] if path else len(node_token))
             path.append(len(node_token))
             node_token.append(seq[depth])
             node_lo.append(k)
@@ -286,83 +311,102 @@ def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.n
         header.setdefault(token, []).append(x)
     out = []
 
-    def records(a: np.ndarray, i: np.ndarray, j: int, d: int, depths: np.ndarray) -> None:
+    def records(a: np.ndarray, j: int, d: int, depths: np.ndarray) -> None:
         """Pairs of record j (whose token stands at depth d) with the records a (at depths)."""
         keep = (label[a] != label[j]) & (100 * n[a] >= PERCENT * n[j]) & (PERCENT * n[a] <= 100 * n[j])
         a, depths = a[keep], depths[keep]
         if not len(a):
             return
-        at_j = place[order[j]][d]
-        at = np.array([place[order[x]][y] for x, y in zip(a, depths, strict=True)])
+        at_j, at = flat[base[j] + d], flat[base[a] + depths]
         # shared at most: what precedes the token in both, itself, what follows it in both
-        most = np.minimum(at, at_j) + 1 + np.minimum(size[a] - at - 1, size[j] - at_j - 1)
-        fits = 9 * most >= 4 * (n[a] + n[j])
-        out.extend((x, j) for x in a[fits])
-
-    uniform = np.array([label[a] if a + 1 == b or (label[a:b] == label[a]).all() else -1 for a, b in zip(lo, hi, strict=True)]) if len(lo) else np.zeros(0)
-    least = np.minimum.reduceat(n, lo) if len(lo) else n
-    paths: dict[int, frozenset] = {}
-
-    def above(x: int) -> frozenset:
-        """The tokens on the path to a node, without its own."""
-        if x not in paths:
-            found, y = [], node_parent[x]
-            while y >= 0:
-                found.append(node_token[y])
-                y = node_parent[y]
-            paths[x] = frozenset(found)
-        return paths[x]
-
-    bounds = [(int(n[a:b].min()), int(n[a:b].max())) for a, b in zip(lo, hi, strict=True)]
-    for nodes in header.values():
+        shared = np.minimum(at, at_j) + 1 + np.minimum(size[a] - at - 1, size[j] - at_j - 1)
+        a = a[9 * shared >= 4 * (n[a] + n[j])]
+        if not len(a):
+            return
+        i, own = order[j], place_of[a]
+        # the bits that differ are no more than the shingles that do
+        apart = np.bitwise_count(bits[own] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        fits = 9 * (size[a] + size[j] - apart) >= 8 * (n[a] + n[j])
+        seen = met.setdefault(j, set())
+        for at_x, of_x in zip(own[fits].tolist(), label[a[fits]].tolist(), strict=True):
+            pair = (min(at_x, i), max(at_x, i))
+            if pair not in tested:
+                live[at_x] = live[i] = True
+                if len(seen) < most and of_x not in seen:
+                    seen.add(of_x)
+                    out.append(pair)
+
+    # of each subtree: its one label or -1, least and greatest number of shingles, greatest place of the token and rest behind it
+    uniform = np.array([label[a] if a + 1 == b or (label[a:b] == label[a]).all() else -1 for a, b in zip(lo, hi, strict=True)], np.int64)
+    bottom = np.array([n[a:b].min() for a, b in zip(lo, hi, strict=True)], np.int64)
+    top = np.array([n[a:b].max() for a, b in zip(lo, hi, strict=True)], np.int64)
+    far = np.array([flat[base[a:b] + d].max() for a, b, d in zip(lo, hi, depth, strict=True)], np.int64)
+    rest = np.array([(size[a:b] - flat[base[a:b] + d]).max() - 1 for a, b, d in zip(lo, hi, depth, strict=True)], np.int64)
+    root = np.array(node_root, np.int64)
+    for nodes in map(np.array, header.values()):
         for k, u in enumerate(nodes):
-            if node_depth[u] == 0 and uniform[u] == -1:  # within one first-level subtree all share its token
-                for j in range(lo[u] + 1, hi[u]):
-                    a = np.arange(lo[u], j)
-                    records(a, None, j, 0, np.zeros(len(a), np.int64))
-            if k == 0:
-                continue
-            others = np.array(nodes[:k])
-            others = others[(uniform[others] == -1) | (uniform[others] != uniform[u])] if uniform[u] != -1 else others
-            for v in others:
-                if bounds[v][1] * 100 < PERCENT * bounds[u][0] or bounds[u][1] * 100 < PERCENT * bounds[v][0]:
-                    continue
-                if above(u) & above(v):  # their records have met at an earlier token
-                    continue
-                a = np.arange(lo[v], hi[v])
+            if depth[u] == 0 and uniform[u] == -1:  # within one first-level subtree all share its token; deeper ones have met there
+                a = np.arange(lo[u], hi[u])
+                for j in range(1, len(a)):
+                    records(a[:j], int(a[j]), 0, np.zeros(j, np.int64))
+            v = nodes[:k]
+            most_shared = np.minimum(far[v], far[u]) + 1 + np.minimum(rest[v], rest[u])
+            v = v[(root[v] != root[u]) & ((uniform[v] == -1) | (uniform[v] != uniform[u])) & (100 * top[v] >= PERCENT * bottom[u]) & (100 * top[u] >= PERCENT * bottom[v]) & (9 * most_shared >= 4 * (bottom[u] + bottom[v]))]
+            if len(v):
+                counts = hi[v] - lo[v]
+                a = np.arange(counts.sum()) + np.repeat(lo[v] - (np.cumsum(counts) - counts), counts)
+                depths = np.repeat(depth[v], counts)
                 for j in range(lo[u], hi[u]):
-                    records(a, None, j, node_depth[u], np.full(len(a), node_depth[v]))
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return np.unique(np.sort(np.array(order)[pairs], axis=1), axis=0) if len(pairs) else pairs
+                    records(a, j, int(depth[u]), depths)
+    return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0), np.nonzero(live)[0]
+
 
+def candidates(lists: DataFrame, labels: DataFrame, n_parts: int, tested: DataFrame | None = None) -> DataFrame:
+    """(part, a, b): a round's pairs of classes with different labels that the bounds leave; with no b, a class that is in any such pair.
 
-def candidates(lists: DataFrame, labels: DataFrame, n_parts: int) -> DataFrame:
-    """(a, b): pairs of classes with different labels that the bounds leave."""
+    tested: what earlier rounds have found; only the parts and classes of the last one are looked at again.
+    """
+    live = None
+    if tested is not None:
+        live = tested.filter("last AND b IS NULL")
+        lists = lists.join(live.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
     known = labels.withColumnRenamed("v", "cls")
-    rows = lists.select("cls", "n", "shared", "prefix", "dfs").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    rows = lists.select("cls", "n", "shared", "prefix", "dfs", "bits").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    names = ["part", "cls", "n", "shared", "label", "hashes", "dfs", "places", "bits", "other"]
+    schema = "part int, cls long, n int, shared int, label long, hashes binary, dfs binary, places binary, bits binary, other long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                h, df = unpack48(row["prefix"]), np.frombuffer(row["dfs"], "<u4")
-                part = (textbatch.mix(h) % _U(n_parts)).astype(np.int64)
-                for p in np.unique(part):
-                    at = np.nonzero(part == p)[0]
-                    out.append((int(p), row["cls"], row["n"], row["shared"], row["label"], pack48(h[at]), df[at].astype("<u4").tobytes(), at.astype("<u4").tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], ["part", "cls", "n", "shared", "label", "hashes", "dfs", "places"])
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                out = []
+                for row in whole.slice(begin, 512).to_pylist():
+                    h, df = unpack48(row["prefix"]), np.frombuffer(row["dfs"], "<u4")
+                    part = (textbatch.mix(h) % _U(n_parts)).astype(np.int64)
+                    for p in np.unique(part):
+                        at = np.nonzero(part == p)[0]
+                        out.append((int(p), row["cls"], row["n"], row["shared"], row["label"], pack48(h[at]), df[at].astype("<u4").tobytes(), at.astype("<u4").tobytes(), row["bits"], None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 10, kinds, strict=True)], names)
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("hashes", "dfs", "places")}
+        marks = table.filter(pa.compute.is_valid(table.column("other")))
+        table = table.filter(pa.compute.is_null(table.column("other")))
+        cols = {c: table.column(c).to_pylist() for c in ("hashes", "dfs", "places", "bits")}
         tokens = [tuple(zip(np.frombuffer(d, "<u4").tolist(), unpack48(h).tolist(), strict=True)) for h, d in zip(cols["hashes"], cols["dfs"], strict=True)]
         cls = table.column("cls").to_numpy()
-        pairs = trie_pairs(tokens, table.column("n").to_numpy().astype(np.int64), table.column("shared").to_numpy().astype(np.int64), table.column("label").to_numpy(), [np.frombuffer(x, "<u4").astype(np.int64) for x in cols["places"]])
+        at = {c: k for k, c in enumerate(cls.tolist())}
+        tested = {tuple(sorted((at[a], at[b]))) for a, b in zip(marks.column("cls").to_pylist(), marks.column("other").to_pylist(), strict=True) if a in at and b in at}
+        pairs, live = trie_pairs(tokens, table.column("n").to_numpy().astype(np.int64), table.column("shared").to_numpy().astype(np.int64), table.column("label").to_numpy(), [np.frombuffer(x, "<u4").astype(np.int64) for x in cols["places"]], cols["bits"], tested)
         ends = np.sort(cls[pairs], axis=1).reshape(-1, 2)
-        return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+        a, b = np.concatenate([ends[:, 0], cls[live]]), np.concatenate([ends[:, 1], np.zeros(len(live), np.int64)])
+        return pa.table([pa.array(np.full(len(a), key[0].as_py(), np.int32)), pa.array(a), pa.array(b, mask=np.arange(len(a)) >= len(ends))], ["part", "a", "b"])
 
-    dealt = rows.mapInArrow(deal, "part int, cls long, n int, shared int, label long, hashes binary, dfs binary, places binary")
-    return dealt.groupBy("part").applyInArrow(joined, "a long, b long").distinct()
+    dealt = rows.mapInArrow(deal, schema)
+    if tested is not None:
+        none = F.lit(None)
+        marks = tested.filter("b IS NOT NULL").select("part", F.col("a").alias("cls"), none.cast("int").alias("n"), none.cast("int").alias("shared"), none.cast("long").alias("label"), *(none.cast("binary").alias(c) for c in ("hashes", "dfs", "places", "bits")), F.col("b").alias("other"))
+        dealt = dealt.unionByName(marks).join(live.select("part").distinct(), "part", "left_semi")
+    return dealt.groupBy("part").applyInArrow(joined, "part int, a long, b long")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -373,10 +417,19 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = cut(survivors(shared(docs, n_ranges, n_buckets)))
     size = lists.agg(F.sum(F.octet_length("list")).alias("bytes"), F.sum(F.octet_length("prefix") / 6).alias("tokens")).first()
     n_verify = max(1, -(-(size["bytes"] or 0) // VERIFY_BYTES))
-    first = cut(verified(leader_pairs(lists), lists, n_verify))
-    labels = components(first)
-    more = verified(cut(candidates(lists, labels, max(1, -(-int(size["tokens"] or 0) // PART)))), lists, n_verify)
-    return cut(first.union(more)), memberships(docs)
+    n_parts = max(1, -(-int(size["tokens"] or 0) // PART))
+    links = cut(verified(leader_pairs(lists), lists, n_verify))
+    labels, tested = components(links), None
+    while True:  # each round tests pairs that no earlier one has tested, so the rounds come to an end
+        found = cut(candidates(lists, labels, n_parts, tested))
+        if found.isEmpty():
+            break
+        more = cut(verified(found.filter("b IS NOT NULL").select("a", "b").distinct(), lists, n_verify))
+        tested = found.withColumn("last", F.lit(True)) if tested is None else tested.withColumn("last", F.lit(False)).unionByName(found.withColumn("last", F.lit(True)))
+        if not more.isEmpty():
+            links = cut(links.union(more))
+            labels = components(links)
+    return links, memberships(docs)
 
 
 def linked(docs: DataFrame) -> DataFrame:
