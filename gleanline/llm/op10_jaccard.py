@@ -50,9 +50,9 @@ RANGE, BUCKET, PART, VERIFY_BYTES = 3_000_000, 1_000_000, 100_000, 16_000_000
 #: Text that a task gathers before it ships its runs.
 GATHER_BYTES = 32_000_000
 #: Bits of a class's bitmap: of one size, as a class is shipped to as many parts as its prefix meets.
-BITMAP = 512
+BITMAP = 2048
 #: Candidates that a round takes from a class of a part; the rest are left to later rounds.
-ROUND_PARTNERS = 8
+ROUND_PARTNERS = 32
 #: Least hashes by which leaders are found.
 SEEDS = (0x51ED270B, 0xA24BAED5, 0x9FB21C65, 0x3C6EF372)
 _U = np.uint64
