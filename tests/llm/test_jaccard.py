@@ -44,10 +44,10 @@ def corpus(seed):
     return rows + [(900, rows[20][1]), (901, rows[20][1].upper())]
 
 
-@pytest.mark.parametrize("partners", [1, 8])
-def test_against_all_pairs(spark, monkeypatch, partners):
+@pytest.mark.parametrize("seed", [1, 8])
+def test_against_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(op10_jaccard, "PART", 300)
-    rows = corpus(partners)
+    rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in op10_jaccard.linked(docs).collect()}
     assert got == brute(rows)
