@@ -38,6 +38,8 @@ ADDED = {
 }
 KINDS = {**BASE, **ADDED}
 ORDER = {kind: k for k, kind in enumerate(KINDS)}
+#: What a text with any match holds: a piece of every match of ip, phone2, secret, phone and card in this order; an email has its @.
+ANY = r"[0-9][.]|[0-9]{3}|[=:]|[+][0-9]|[0-9](?:[\x20-]?[0-9]){12}"
 CONTEXT = 40
 #: Gazetteers: words before a span that speak for and against personal data, and spans that are none.
 FOR_WORDS = r"(?i)\b(?:e?-?mail|contact|write|reach|tel|phone|call|fax|mobile|card|visa|account|ip|host|server|address|token|secret|key|password|pwd)\b"
@@ -70,7 +72,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     The pieces between a kind's matches and the matches add up to their places: a running sum.
     """
-    rows = docs.filter("text is not null AND (contains(text, '@') OR text rlike '[0-9]{3}|[0-9][.]|[=:]')").select("doc_id", F.xxhash64("text").alias("x"), "text")
+    rows = docs.filter(F.col("text").isNotNull() & (F.contains("text", F.lit("@")) | F.col("text").rlike(ANY))).select("doc_id", F.xxhash64("text").alias("x"), "text")
     for kind, pattern in KINDS.items():
         rows = rows.withColumn(f"m_{kind}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     rows = rows.filter(F.greatest(*(F.size(f"m_{k}") for k in KINDS)) > 0)
