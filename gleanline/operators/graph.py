@@ -34,19 +34,21 @@ def cochange(changes: DataFrame, commit: str, item: str, max_items: int = 30, mi
     return out.select("a", "b", "n", "coupling", (0.5 * F.least(F.lit(1.0), F.col("coupling"))).alias("weight"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, component): the least vertex reachable from each vertex of edges (a, b).
 
-    Each round takes the least label of the neighbours and then that label's own label, and is cut.
+    Each round takes the least label of the neighbours, sends it to the old label as well and takes that
+    label's own label; it is cut. The rounds end when nothing changes.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("heard"))
         spread = labels.join(heard, "v").select("v", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = spread.select(F.col("v").alias("_v"), F.col("component").alias("_next"))
-        new = cut(spread.join(jump, F.col("component") == F.col("_v"), "left").select("v", "old", F.least("component", "_next").alias("component")))
+        sent = spread.select(F.explode(F.array(F.struct("v", "old", "component"), F.struct(F.col("old").alias("v"), F.lit(None).cast(labels.schema["v"].dataType).alias("old"), "component"))).alias("s")).select("s.*")
+        hooked = sent.groupBy("v").agg(F.max("old").alias("old"), F.min("component").alias("component"))
+        jump = hooked.select(F.col("v").alias("_v"), F.col("component").alias("_next"))
+        new = cut(hooked.join(jump, F.col("component") == F.col("_v"), "left").select("v", "old", F.least("component", "_next").alias("component")))
         labels = new.select("v", "component")
-        if not new.filter("old != component").limit(1).count():
-            break
-    return labels
+        if new.filter("old != component").isEmpty():
+            return labels
