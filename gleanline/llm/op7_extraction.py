@@ -11,7 +11,8 @@ boilerplate are placed into many different page layouts, whose labels are known
 that it learns layouts and context rather than one site's template. It reads at most MAX_SAMPLE pages.
 
 Edge cases: a null or empty html, or one without content, gives an empty text; unclosed and stray
-tags, comments, very long pages and unknown tags are read on to the end, nothing is capped; repeated
+tags, comments, very long pages and unknown tags are read on to the end, nothing is capped; scripts and
+the like end at their own end tag, and quotes count only after an equals sign; repeated
 rows get equal texts; an empty table gives an empty result; further columns are left out.
 """
 
@@ -39,7 +40,9 @@ BATCH = 32
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video textarea select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\x22']|\x22[^\x22]*\x22|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\x22[^\x22]*\x22|'[^']*'|[^\s>\x22'][^\s>]*+)?+)*+)>", re.S)
+#: Tags whose contents are no markup: they end at their own end tag, whatever stands before it.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -74,7 +77,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
             in_link -= name == "a"
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
+    begin = 0
+    while m := _TOKEN.search(page, begin):
+        begin = m.end()
         if m.start() > at and not silent_from:
             piece = page[at : m.start()]
             text.append(piece)
@@ -85,6 +90,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         if name is None:
             continue
         name, closing = name.lower(), bool(m.group(1))
+        if name in _RAW_END and not closing and not m.group(3).rstrip().endswith("/"):
+            end = _RAW_END[name].search(page, begin)
+            if end:
+                begin = end.start()
         if silent_from:
             if closing and name == silent_from:
                 silent_from = ""
