@@ -8,21 +8,24 @@ Only documents that may have a partner reach the join, by bounds that lose no li
 3. A class of n shingles, L of them shared, can only reach the similarity if L >= 80 % of n. For the
    few classes left, the globally ordered list of shared shingles (rarest first) gives the prefix: any
    partner must share one of its first L - ceil(0.8 n) + 1 shingles. Overlaps are exact from these lists.
-4. Within large groups of near copies most links are found by comparing each class with the leader of
-   the classes that have a least shingle hash in common; those that are linked carry one label.
-5. The prefixes are dealt by shingle range into tasks, each of which keeps its lists in a trie.
-   Sequences share nodes as long as they agree, a node's records are one range, and all nodes of one
-   shingle are compared pairwise: the overlap of their paths counts for all records below at once, and
-   node pairs are cut by size bounds, by what length remains behind the node, and where all records
-   carry one label. Bitmaps of both shingle lists bound their overlap from above and rule out most of
-   the rest exactly. What is left are candidate pairs of different labels.
-6. A round tests at most ROUND_PARTNERS candidates of each class of a part, of as many labels, by
-   their lists; the links found join labels, and the parts that had candidates go into the next round,
-   which leaves out what was tested. The rounds end when no pair of different labels is left untested:
-   a large group of near copies thus takes a number of tests in proportion to its size in each round.
+4. Hubs: classes that have a least hash in common meet the one of them whose shingles are the most
+   frequent, which in a group of near copies is the one that most others are close to. Their overlap
+   is taken, and classes that link carry one label from here on: a large group costs a few rows a class.
+5. A prefix shingle all of whose classes carry one label can tell nothing new and is left out. What the
+   other shingles connect are families: linked classes are in one family, so each class is shipped once,
+   to its family's task. A family beyond PART_BYTES is dealt over several tasks by its shingles.
+6. A task keeps its prefixes in a trie: sequences share nodes as long as they agree, and what holds for
+   a node (its label, sizes, places, what remains behind it) holds for all records below. Each record
+   visits the nodes of its shingles but those of its own label; subtrees are cut by size and by what
+   overlap the remaining lengths leave. Records are cut by the same bounds, by bitmaps of both lists,
+   which bound their overlap from above, and at last by the exact overlap. Links join labels at once,
+   so that a task returns at most one link a record.
 
 Classes linked to each other, directly or not, form a component; its id is the least doc_id.
 
+Hashes: sets and their sizes are told apart by 64 bits, overlaps by 48 bits; two texts of 1000 shingles
+each have an overlap that is too large by one with odds of 1 to 280 million.
+
 Edge cases: a null or wordless text has no shingles and no link; a text of 1-4 words is one shingle;
 repeated rows are copies; a null doc_id gets its class's component; an empty table gives an empty
 result; texts are read in whole; further columns are left out of the report and kept by stage().
@@ -33,9 +36,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +46,16 @@ from gleanline.llm.common import cut, documents
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingles of a range, entries of a class bucket and of a part of the prefixes, bytes of lists of a part to be verified.
-RANGE, BUCKET, PART, VERIFY_BYTES = 3_000_000, 1_000_000, 100_000, 16_000_000
+#: Shingles of a range, entries of a class bucket, bytes of lists of a part.
+RANGE, BUCKET, PART_BYTES = 3_000_000, 1_000_000, 8_000_000
 #: Text that a task gathers before it ships its runs.
 GATHER_BYTES = 32_000_000
-#: Bits of a class's bitmap: of one size, as a class is shipped to as many parts as its prefix meets.
+#: Bits of a class's bitmap.
 BITMAP = 2048
-#: Candidates that a round takes from a class of a part; the rest are left to later rounds.
-ROUND_PARTNERS = 32
-#: Least hashes by which leaders are found.
-SEEDS = (0x51ED270B, 0xA24BAED5, 0x9FB21C65, 0x3C6EF372)
+#: Exact overlaps that are taken at once; links found by them spare the rest.
+STEP = 64
+#: Least hashes by which hubs are found.
+SEEDS = (0x51ED270B, 0xA24BAED5, 0x9FB21C65, 0x3C6EF372, 0x1B873593, 0xCC9E2D51)
 _U = np.uint64
 
 
@@ -64,7 +65,7 @@ def need(n):
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 48-bit shingle hashes by text, the text of each, each text's number of them and class key (0 without words)."""
+    """48-bit shingle hashes by text, the text of each, each text's number of distinct shingles and class key (0 without words)."""
     t = textbatch.segment(texts)
     hashes, whole = t.windows(WORDS)
     doc = t.doc_of_word()
@@ -72,7 +73,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     at = np.nonzero(whole)[0]
     few = np.nonzero((n_words > 0) & (n_words < WORDS))[0]
     short = np.array([textbatch.mix(np.add.reduce(t.hashes[a:b] * (_U(0x9E3779B97F4A7C15) ** np.arange(b - a, dtype=_U) + _U(2)), dtype=_U, keepdims=True))[0] for a, b in zip(t.words[few], t.words[few + 1], strict=True)], dtype=_U)
-    h = np.concatenate([hashes[at], short]) >> _U(16)
+    h = np.concatenate([hashes[at], short])
     d = np.concatenate([doc[at], few.astype(np.int32)])
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
@@ -83,7 +84,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     total = np.concatenate([np.zeros(1, _U), np.cumsum(textbatch.mix(h + _U(0x1234567)), dtype=_U)])
     ends = np.cumsum(n)
     keys = textbatch.mix((total[ends] - total[ends - n]) ^ textbatch.mix(n.astype(_U) + _U(0x77)))
-    return h, d, n, np.where(n > 0, keys | _U(1), _U(0)).view(np.int64)
+    return h >> _U(16), d, n, np.where(n > 0, keys | _U(1), _U(0)).view(np.int64)
 
 
 def memberships(docs: DataFrame) -> DataFrame:
@@ -192,62 +193,56 @@ def bitmap(own: np.ndarray) -> bytes:
 
 
 def survivors(entries: DataFrame) -> DataFrame:
-    """(cls, n, shared, list, prefix, dfs, bits, minima): classes with enough shared shingles to have a partner.
+    """(cls, n, shared, list, prefix, center, bits, minima): classes with enough shared shingles to have a partner.
 
-    list: their shared shingles, sorted by hash; prefix, dfs: the rarest, in the global order; bits: a bitmap of the list; minima: least hashes.
+    list: their shared shingles, sorted by hash; prefix: the rarest, in the global order; center: how
+    frequent its shingles are; bits: a bitmap of the list; minima: least hashes.
     """
+    token = pa.struct([("df", pa.int32()), ("hash", pa.int64())])
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         c, n, h, df = (table.column(x).to_numpy() for x in ("cls", "n", "hash", "df"))
         order = np.lexsort((h, df, c))
         c, n, h, df = c[order], n[order], h[order].astype(_U), df[order]
         starts = np.nonzero(np.concatenate([[True], c[1:] != c[:-1]]))[0] if len(c) else np.zeros(0, np.int64)
-        rows = []
+        rows, ranges = [], [np.zeros(0, np.int64)]
         for a, b in zip(starts, np.append(starts[1:], len(c)), strict=True):
             p = (b - a) - need(int(n[a])) + 1
             if p > 0:
                 own = h[a:b]
-                rows.append((int(c[a]), int(n[a]), int(b - a), pack48(np.sort(own)), pack48(own[:p]), df[a : a + p].astype("<u4").tobytes(), bitmap(own), [int(textbatch.mix(own ^ _U(s)).min() >> _U(1)) for s in SEEDS]))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], ["cls", "n", "shared", "list", "prefix", "dfs", "bits", "minima"])
-
-    return entries.groupBy("bucket").applyInArrow(gather, "cls long, n int, shared int, list binary, prefix binary, dfs binary, bits binary, minima array<long>")
-
-
-def verified(pairs: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
-    """Those of the pairs (a, b) that link. Each part holds its b's lists once, and the lists of the a's that it meets."""
-    part = F.pmod(F.xxhash64("b"), F.lit(n_parts)).cast("int").alias("part")
-    pairs = pairs.select("a", "b", part)
-    asked = pairs.select("part", F.col("a").alias("cls")).union(pairs.select("part", F.col("b").alias("cls"))).distinct()
-    none = F.lit(None)
-    rows = asked.join(lists.select("cls", "n", "list"), "cls").select("part", F.col("cls").alias("a"), none.cast("long").alias("b"), "n", "list")
-    rows = rows.unionByName(pairs.select("part", "a", "b", none.cast("int").alias("n"), none.cast("binary").alias("list")))
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
-        n, raw = table.column("n").to_pylist(), table.column("list")
-        sets = {x: (n[k], unpack48(raw[k].as_py())) for k, (x, y) in enumerate(zip(a, b, strict=True)) if y is None}
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if y is not None:
-                (nx, sx), (ny, sy) = sets[x], sets[y]
-                if min(nx, ny) < need(max(nx, ny)):
-                    continue
-                at = np.minimum(np.searchsorted(sy, sx), len(sy) - 1)
-                both = int((sy[at] == sx).sum())
-                if 100 * both >= PERCENT * (nx + ny - both):
-                    out.append((x, y))
-        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return rows.groupBy("part").applyInArrow(compare, "a long, b long")
-
-
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each class with the least and the greatest class that have a least hash in common with it: a few rows a class."""
-    each = lists.select("cls", F.posexplode("minima").alias("seed", "least"))
-    leaders = each.groupBy("seed", "least").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
-    both = each.join(leaders, ["seed", "least"])
-    return both.select(F.col("cls").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                rows.append((int(c[a]), int(n[a]), int(b - a), pack48(np.sort(own)), float(np.minimum(df[a:b], 1 << 20).sum() / n[a]), bitmap(own), [int(textbatch.mix(own ^ _U(s)).min() >> _U(1)) for s in SEEDS]))
+                ranges.append(np.arange(a, a + p))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["cls", "n", "shared", "list", "center", "bits", "minima"]
+        at = np.concatenate(ranges)
+        tokens = pa.StructArray.from_arrays([pa.array(df[at].astype(np.int32)), pa.array(h[at].astype(np.int64))], fields=list(token))
+        prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in ranges]), pa.int32()), tokens)
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)] + [prefix], [*names, "prefix"])
+
+    return entries.groupBy("bucket").applyInArrow(gather, "cls long, n int, shared int, list binary, center double, bits binary, minima array<long>, prefix array<struct<df: int, hash: long>>")
+
+
+def hub_links(lists: DataFrame) -> DataFrame:
+    """(a, b): links between a class and the hubs of its least hashes."""
+    each = lists.select("cls", "center", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(SEEDS))).alias("seed"), F.col("minima").alias("least"))).alias("m")).select("cls", "center", "m.*")
+    hubs = each.groupBy("seed", "least").agg(F.max(F.struct("center", "cls")).alias("hub"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("seed", "least", F.col("hub.cls").alias("b"))
+    pairs = each.join(hubs, ["seed", "least"]).select(F.col("cls").alias("a"), "b").filter("a != b").distinct()
+    own = lists.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("list").alias("list_a"))
+    hub = lists.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("list").alias("list_b"))
+    fits = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * PERCENT)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = (unpack48(batch.column(c)[k].as_py()) for c in ("list_a", "list_b"))
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                total = batch.column("n_a")[k].as_py() + batch.column("n_b")[k].as_py()
+                if 100 * both >= PERCENT * (total - both):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.join(own, "a").join(hub, "b").filter(fits).select("a", "b", "n_a", "n_b", "list_a", "list_b").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,24 +266,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.ndarray, place: list[np.ndarray], raw: list[bytes], tested: set[tuple[int, int]], most: int = ROUND_PARTNERS) -> tuple[np.ndarray, np.ndarray]:
-    """Untested candidate pairs of records (as indices) with different labels that share a token, and all records in any.
+def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges lo..hi - 1 one after another, and from which range each comes."""
+    counts = np.maximum(hi - lo, 0)
+    ends = np.cumsum(counts)
+    of = np.repeat(np.arange(len(lo)), counts)
+    return np.arange(ends[-1] if len(ends) else 0) - (ends - counts)[of] + lo[of], of
+
+
+def trie_links(tokens: list[tuple[int, ...]], places: list[np.ndarray], n: np.ndarray, size: np.ndarray, label: np.ndarray, bits: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between records of different labels that share a token, as many as join all labels that any of them join.
 
-    tokens: each record's tokens in the global order; place: where each stands in the record's whole
-    list; n, size: each record's numbers of shingles and of shared ones; raw: bitmaps; tested: pairs
-    (lesser index first) to leave out. At most `most` partners of a record, each of another label: if
-    there are none at all, there is no further pair.
+    tokens: each record's tokens as numbers in the global order; places: where each stands in the
+    record's whole list; n, size: each record's numbers of shingles and of shared ones; bits: bitmaps;
+    lists: the shared shingles.
     """
-    bits = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
-    live = np.zeros(len(raw), bool)
-    met: dict[int, set[int]] = {}
+    if len(tokens) < 2:
+        return []
     order = sorted(range(len(tokens)), key=tokens.__getitem__)
-    n, size, label, place_of = n[order], size[order], label[order], np.array(order, np.int64)
+    n, size, bits = n[order], size[order], bits[order]
+    _, root = np.unique(label[order], return_inverse=True)
+    label = root.copy()
     # the trie: a node is a token and the range of (sorted) records whose sequences run through it
-    node_token, node_lo, node_hi, node_depth, node_root = [], [], [], [], []
-    length = np.array([len(x) for x in place], np.int64)
-    flat = np.concatenate(place) if len(place) else np.zeros(0, np.int64)
-    base = (np.cumsum(length) - length)[place_of]
+    node_token, node_lo, node_hi, node_depth = [], [], [], []
     path: list[int] = []
     before: tuple = ()
     for k, i in enumerate(order):
@@ -296,150 +296,130 @@ def trie_pairs(tokens: list[tuple], n: np.ndarray, size: np.ndarray, label: np.n
         while same < len(before) and same < len(seq) and before[same] == seq[same]:
             same += 1
         del path[same:]
+        for x in path:
+            node_hi[x] = k + 1
         for depth in range(same, len(seq)):
-            node_root.append(path[0] if path else len(node_token))
             path.append(len(node_token))
             node_token.append(seq[depth])
             node_lo.append(k)
             node_hi.append(k + 1)
             node_depth.append(depth)
-        for x in path[:same]:
-            node_hi[x] = k + 1
         before = seq
-    lo, hi, depth = np.array(node_lo, np.int64), np.array(node_hi, np.int64), np.array(node_depth, np.int64)
-    header: dict = {}
-    for x, token in enumerate(node_token):
-        header.setdefault(token, []).append(x)
+    token, lo, hi, depth = (np.array(x, np.int64) for x in (node_token, node_lo, node_hi, node_depth))
+    length = np.array([len(tokens[i]) for i in order], np.int64)
+    base = np.cumsum(length) - length
+    flat_token = np.concatenate([np.array(tokens[i], np.int64) for i in order])
+    flat_place = np.concatenate([places[i] for i in order]).astype(np.int64)
+    # of each subtree: least and greatest label and number of shingles, greatest place of the token and rest behind it
+    below, of = spans(lo, hi)
+    first = np.cumsum(hi - lo) - (hi - lo)
+    at = flat_place[base[below] + depth[of]]
+    bottom, top = np.minimum.reduceat(n[below], first), np.maximum.reduceat(n[below], first)
+    far, rest = np.maximum.reduceat(at, first), np.maximum.reduceat(size[below] - at - 1, first)
+    least, most = np.minimum.reduceat(label[below], first), np.maximum.reduceat(label[below], first)
+    uniform = np.where(least == most, least + 1, 0)
+    # the nodes by token, and of a token by label, so that a record leaves out those of its own
+    width = int(label.max()) + 2
+    key = token * width + uniform
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    _, flat_list = np.unique(np.concatenate([lists[i] for i in order]), return_inverse=True)
+    list_end = np.cumsum([len(lists[i]) for i in order])
+    list_lo = list_end - np.array([len(lists[i]) for i in order])
+    mark = np.zeros(int(flat_list.max()) + 1, bool)
     out = []
-
-    def records(a: np.ndarray, j: int, d: int, depths: np.ndarray) -> None:
-        """Pairs of record j (whose token stands at depth d) with the records a (at depths)."""
-        keep = (label[a] != label[j]) & (100 * n[a] >= PERCENT * n[j]) & (PERCENT * n[a] <= 100 * n[j])
-        a, depths = a[keep], depths[keep]
-        if not len(a):
-            return
-        at_j, at = flat[base[j] + d], flat[base[a] + depths]
+    for j in range(1, len(order)):
+        own = slice(base[j], base[j] + length[j])
+        mine, place = flat_token[own] * width, flat_place[own]
+        cuts = [np.searchsorted(key, mine), np.searchsorted(key, mine + label[j] + 1), np.searchsorted(key, mine + label[j] + 1, "right"), np.searchsorted(key, mine + width)]
+        node, which = spans(np.concatenate([cuts[0], cuts[2]]), np.concatenate([cuts[1], cuts[3]]))
+        v, at_j = by[node], np.concatenate([place, place])[which]
+        keep = (lo[v] < j) & (100 * top[v] >= PERCENT * n[j]) & (PERCENT * bottom[v] <= 100 * n[j])
         # shared at most: what precedes the token in both, itself, what follows it in both
-        shared = np.minimum(at, at_j) + 1 + np.minimum(size[a] - at - 1, size[j] - at_j - 1)
-        a = a[9 * shared >= 4 * (n[a] + n[j])]
+        keep &= 9 * (np.minimum(far[v], at_j) + 1 + np.minimum(rest[v], size[j] - at_j - 1)) >= 4 * (bottom[v] + n[j])
+        v, at_j = v[keep], at_j[keep]
+        a, of = spans(lo[v], np.minimum(hi[v], j))
         if not len(a):
-            return
-        i, own = order[j], place_of[a]
+            continue
+        at, at_j = flat_place[base[a] + depth[v][of]], at_j[of]
+        keep = (root[a] != root[j]) & (100 * n[a] >= PERCENT * n[j]) & (PERCENT * n[a] <= 100 * n[j])
+        keep &= 9 * (np.minimum(at, at_j) + 1 + np.minimum(size[a] - at - 1, size[j] - at_j - 1)) >= 4 * (n[a] + n[j])
+        a = np.unique(a[keep])
         # the bits that differ are no more than the shingles that do
-        apart = np.bitwise_count(bits[own] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        fits = 9 * (size[a] + size[j] - apart) >= 8 * (n[a] + n[j])
-        seen = met.setdefault(j, set())
-        for at_x, of_x in zip(own[fits].tolist(), label[a[fits]].tolist(), strict=True):
-            pair = (min(at_x, i), max(at_x, i))
-            if pair not in tested:
-                live[at_x] = live[i] = True
-                if len(seen) < most and of_x not in seen:
-                    seen.add(of_x)
-                    out.append(pair)
-
-    # of each subtree: its one label or -1, least and greatest number of shingles, greatest place of the token and rest behind it
-    uniform = np.array([label[a] if a + 1 == b or (label[a:b] == label[a]).all() else -1 for a, b in zip(lo, hi, strict=True)], np.int64)
-    bottom = np.array([n[a:b].min() for a, b in zip(lo, hi, strict=True)], np.int64)
-    top = np.array([n[a:b].max() for a, b in zip(lo, hi, strict=True)], np.int64)
-    far = np.array([flat[base[a:b] + d].max() for a, b, d in zip(lo, hi, depth, strict=True)], np.int64)
-    rest = np.array([(size[a:b] - flat[base[a:b] + d]).max() - 1 for a, b, d in zip(lo, hi, depth, strict=True)], np.int64)
-    root = np.array(node_root, np.int64)
-    for nodes in map(np.array, header.values()):
-        for k, u in enumerate(nodes):
-            if depth[u] == 0 and uniform[u] == -1:  # within one first-level subtree all share its token; deeper ones have met there
-                a = np.arange(lo[u], hi[u])
-                for j in range(1, len(a)):
-                    records(a[:j], int(a[j]), 0, np.zeros(j, np.int64))
-            v = nodes[:k]
-            most_shared = np.minimum(far[v], far[u]) + 1 + np.minimum(rest[v], rest[u])
-            v = v[(root[v] != root[u]) & ((uniform[v] == -1) | (uniform[v] != uniform[u])) & (100 * top[v] >= PERCENT * bottom[u]) & (100 * top[u] >= PERCENT * bottom[v]) & (9 * most_shared >= 4 * (bottom[u] + bottom[v]))]
-            if len(v):
-                counts = hi[v] - lo[v]
-                a = np.arange(counts.sum()) + np.repeat(lo[v] - (np.cumsum(counts) - counts), counts)
-                depths = np.repeat(depth[v], counts)
-                for j in range(lo[u], hi[u]):
-                    records(a, j, int(depth[u]), depths)
-    return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0), np.nonzero(live)[0]
-
-
-def candidates(lists: DataFrame, labels: DataFrame, n_parts: int, tested: DataFrame | None = None) -> DataFrame:
-    """(part, a, b): a round's pairs of classes with different labels that the bounds leave; with no b, a class that is in any such pair.
-
-    tested: what earlier rounds have found; only the parts and classes of the last one are looked at again.
-    """
-    live = None
-    if tested is not None:
-        live = tested.filter("last AND b IS NULL")
-        lists = lists.join(live.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
-    known = labels.withColumnRenamed("v", "cls")
-    rows = lists.select("cls", "n", "shared", "prefix", "dfs", "bits").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    names = ["part", "cls", "n", "shared", "label", "hashes", "dfs", "places", "bits", "other"]
-    schema = "part int, cls long, n int, shared int, label long, hashes binary, dfs binary, places binary, bits binary, other long"
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                out = []
-                for row in whole.slice(begin, 512).to_pylist():
-                    h, df = unpack48(row["prefix"]), np.frombuffer(row["dfs"], "<u4")
-                    part = (textbatch.mix(h) % _U(n_parts)).astype(np.int64)
-                    for p in np.unique(part):
-                        at = np.nonzero(part == p)[0]
-                        out.append((int(p), row["cls"], row["n"], row["shared"], row["label"], pack48(h[at]), df[at].astype("<u4").tobytes(), at.astype("<u4").tobytes(), row["bits"], None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 10, kinds, strict=True)], names)
+        apart = np.bitwise_count(bits[a] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        keep = 9 * (size[a] + size[j] - apart) >= 8 * (n[a] + n[j])
+        a = a[keep][np.argsort(apart[keep], kind="stable")]
+        if not len(a):
+            continue
+        mark[flat_list[list_lo[j] : list_end[j]]] = True
+        while len(a):
+            now, a = a[:STEP], a[STEP:]
+            at, of = spans(list_lo[now], list_end[now])
+            both = np.bincount(of[mark[flat_list[at]]], minlength=len(now))
+            for x in now[100 * both >= PERCENT * (n[now] + n[j] - both)]:
+                if root[x] != root[j]:
+                    out.append((order[x], order[j]))
+                    root[root == root[x]] = root[j]
+            a = a[root[a] != root[j]]
+        mark[flat_list[list_lo[j] : list_end[j]]] = False
+    return out
+
+
+def family_links(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): links between classes of different labels that connect all that have any."""
+    labelled = lists.select("cls", "prefix").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), F.posexplode("prefix").alias("place", "t")).select("cls", "label", "place", "t.*")
+    mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hash", "lo")
+    met = cut(labelled.join(mixed, "hash"))
+    families = components(met.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
+    of_class = met.select("cls", "label").distinct().join(families.select(F.col("v").alias("label"), F.col("label").alias("family")), "label")
+    weighed = of_class.join(lists.select("cls", F.octet_length("list").alias("bytes")), "cls")
+    tasks = weighed.groupBy("family").agg(F.sum("bytes").alias("bytes")).withColumn("tasks", F.ceil(F.col("bytes") / PART_BYTES))
+    families = cut(families.select(F.col("v").alias("label"), F.col("label").alias("family")).join(tasks, "family"))
+    total = families.select("family", "bytes").distinct().agg(F.sum("bytes")).first()[0]
+    parts = max(1, -(-(total or 0) // PART_BYTES))
+    part = F.when(F.col("tasks") == 1, F.pmod(F.xxhash64("family"), F.lit(parts))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("hash"), F.col("tasks"))))
+    dealt = met.join(families.select("label", "family", "tasks"), "label").groupBy(part.alias("part"), "cls", "label").agg(F.array_sort(F.collect_list(F.struct("place", "df", "hash"))).alias("tokens"))
+    rows = dealt.join(lists.select("cls", "n", "shared", "list", "bits"), "cls")
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        marks = table.filter(pa.compute.is_valid(table.column("other")))
-        table = table.filter(pa.compute.is_null(table.column("other")))
-        cols = {c: table.column(c).to_pylist() for c in ("hashes", "dfs", "places", "bits")}
-        tokens = [tuple(zip(np.frombuffer(d, "<u4").tolist(), unpack48(h).tolist(), strict=True)) for h, d in zip(cols["hashes"], cols["dfs"], strict=True)]
-        cls = table.column("cls").to_numpy()
-        at = {c: k for k, c in enumerate(cls.tolist())}
-        tested = {tuple(sorted((at[a], at[b]))) for a, b in zip(marks.column("cls").to_pylist(), marks.column("other").to_pylist(), strict=True) if a in at and b in at}
-        pairs, live = trie_pairs(tokens, table.column("n").to_numpy().astype(np.int64), table.column("shared").to_numpy().astype(np.int64), table.column("label").to_numpy(), [np.frombuffer(x, "<u4").astype(np.int64) for x in cols["places"]], cols["bits"], tested)
-        ends = np.sort(cls[pairs], axis=1).reshape(-1, 2)
-        a, b = np.concatenate([ends[:, 0], cls[live]]), np.concatenate([ends[:, 1], np.zeros(len(live), np.int64)])
-        return pa.table([pa.array(np.full(len(a), key[0].as_py(), np.int32)), pa.array(a), pa.array(b, mask=np.arange(len(a)) >= len(ends))], ["part", "a", "b"])
-
-    dealt = rows.mapInArrow(deal, schema)
-    if tested is not None:
-        none = F.lit(None)
-        marks = tested.filter("b IS NOT NULL").select("part", F.col("a").alias("cls"), none.cast("int").alias("n"), none.cast("int").alias("shared"), none.cast("long").alias("label"), *(none.cast("binary").alias(c) for c in ("hashes", "dfs", "places", "bits")), F.col("b").alias("other"))
-        dealt = dealt.unionByName(marks).join(live.select("part").distinct(), "part", "left_semi")
-    return dealt.groupBy("part").applyInArrow(joined, "part int, a long, b long")
-
-
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (a, b) between different classes that connect all that are linked, and (doc_id, cls, n)."""
+        tokens = table.column("tokens").combine_chunks()
+        ends = np.asarray(tokens.offsets)
+        place, df, h = (np.asarray(x) for x in tokens.values.flatten())
+        by_order = np.lexsort((h, df))
+        fresh = np.concatenate([[0], h[by_order][1:] != h[by_order][:-1]])
+        number = np.empty(len(h), np.int64)
+        number[by_order] = np.cumsum(fresh)
+        cls, n, size, label = (table.column(c).to_numpy() for c in ("cls", "n", "shared", "label"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(cls), -1)
+        runs = [slice(a, b) for a, b in zip(ends, ends[1:])]
+        links = trie_links([tuple(number[r].tolist()) for r in runs], [place[r] for r in runs], n.astype(np.int64), size.astype(np.int64), label, bits, [unpack48(x) for x in table.column("list").to_pylist()])
+        return pa.table([pa.array([int(cls[x[k]]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.select("part", "cls", "label", "n", "shared", "list", "bits", "tokens").groupBy("part").applyInArrow(joined, "a long, b long")
+
+
+def class_labels(docs: DataFrame) -> DataFrame:
+    """(cls, label): the classes that link with another one, and of each component the least class."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     entries = total // 6  # about the number of words
     n_ranges, n_buckets = max(1, -(-entries // RANGE)), max(1, -(-entries // (4 * BUCKET)))
     lists = cut(survivors(shared(docs, n_ranges, n_buckets)))
-    size = lists.agg(F.sum(F.octet_length("list")).alias("bytes"), F.sum(F.octet_length("prefix") / 6).alias("tokens")).first()
-    n_verify = max(1, -(-(size["bytes"] or 0) // VERIFY_BYTES))
-    n_parts = max(1, -(-int(size["tokens"] or 0) // PART))
-    links = cut(verified(leader_pairs(lists), lists, n_verify))
-    labels, tested = components(links), None
-    while True:  # each round tests pairs that no earlier one has tested, so the rounds come to an end
-        found = cut(candidates(lists, labels, n_parts, tested))
-        if found.isEmpty():
-            break
-        more = cut(verified(found.filter("b IS NOT NULL").select("a", "b").distinct(), lists, n_verify))
-        tested = found.withColumn("last", F.lit(True)) if tested is None else tested.withColumn("last", F.lit(False)).unionByName(found.withColumn("last", F.lit(True)))
-        if not more.isEmpty():
-            links = cut(links.union(more))
-            labels = components(links)
-    return links, memberships(docs)
+    labels = components(hub_links(lists))
+    met = cut(family_links(lists, labels))
+    known = lambda v, name: F.coalesce(F.col(name), F.col(v))
+    low, high = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    joined = components(met.join(low, "a", "left").join(high, "b", "left").select(known("a", "la").alias("a"), known("b", "lb").alias("b")))
+    ends = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    every = labels.select(F.col("v").alias("cls"), "label").unionByName(ends.join(labels.select(F.col("v").alias("cls")), "cls", "left_anti").withColumn("label", F.col("cls")))
+    return every.join(joined.select(F.col("v").alias("label"), F.col("label").alias("joined")), "label", "left").select("cls", F.coalesce("joined", "label").alias("label"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
-    links, members = join(docs)
-    labels = components(links)
-    members = cut(members)
+    labels = class_labels(docs)
+    members = cut(memberships(docs))
     classes = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    of_class = classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    of_class = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     of_label = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
     found = of_class.select("cls", "label").join(of_label, "label").select("cls", "component_id")
     return members.join(found, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

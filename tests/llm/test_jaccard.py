@@ -44,9 +44,9 @@ def corpus(seed):
     return rows + [(900, rows[20][1]), (901, rows[20][1].upper())]
 
 
-@pytest.mark.parametrize("seed", [1, 8])
-def test_against_all_pairs(spark, monkeypatch, seed):
-    monkeypatch.setattr(op10_jaccard, "PART", 300)
+@pytest.mark.parametrize(("seed", "part_bytes"), [(1, 8_000_000), (8, 2_000)])
+def test_against_all_pairs(spark, monkeypatch, seed, part_bytes):
+    monkeypatch.setattr(op10_jaccard, "PART_BYTES", part_bytes)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in op10_jaccard.linked(docs).collect()}
@@ -64,5 +64,24 @@ def test_bitmaps_bound_the_difference():
             assert np.bitwise_count(mx ^ my).sum() <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_without_hubs(spark, monkeypatch, seed):
+    """All links come from the tries alone."""
+    monkeypatch.setattr(op10_jaccard, "hub_links", lambda lists: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(op10_jaccard, "STEP", 3)
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in op10_jaccard.linked(docs).collect()} == brute(rows)
+
+
+def test_stage_keeps_one_of_each_group_and_other_columns(spark):
+    long = " ".join(f"w{k}" for k in range(30000))
+    rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (None, "a b", "z"), (3, None, "n"), (4, "", "n"), (5, long, "l"), (6, long + " end", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string")
+    kept = op10_jaccard.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.cls) for r in kept.collect()} == {(1, "x"), (None, "z"), (3, "n"), (4, "n"), (5, "l")}
+
+
 def test_empty_table(spark):
     assert op10_jaccard.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
