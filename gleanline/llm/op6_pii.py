@@ -4,10 +4,11 @@ Candidates are all matches of the four base kinds, whose valid ones are exact an
 further kinds that looser patterns propose: secrets assigned to a name, and phone numbers without a
 plus. Three sorts of labelers vote yes, no or nothing on each candidate: regular expressions on its
 form, gazetteers of words before it and of known non-data, and its context (what borders on it).
-Expectation-maximisation estimates from the votes alone how reliable each labeler is; the votes are
-counted by combination first, so that each round reads some hundred rows whatever the input, and only
-the labelers' parameters reach the driver. The posteriors then train the final span classifier, a
-logistic regression over votes and kind, and it decides on the spans of the further kinds.
+Expectation-maximisation estimates from the votes alone how reliable each labeler is. The votes are
+counted by combination first: one aggregation over all candidates gives at most 3 ** N_VOTES rows a
+kind (39366 in all, some hundred in fact), and both fits run over these counts. The posteriors train
+the final span classifier, a logistic regression over votes and kind, and it alone decides on the
+spans of the further kinds.
 
 Spans are in code points, their ends exclusive. Edge cases: a null or empty text has no spans; spans of
 different kinds may overlap, but an added span that touches a base span goes; very long texts are
@@ -17,8 +18,7 @@ columns are left out.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,76 +115,63 @@ def votes(rows: DataFrame) -> DataFrame:
 N_VOTES = 8
 
 
-def _log_odds(p: float, q: float) -> float:
-    clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
-    return math.log(clip(p)) - math.log(clip(q))
-
+def reliabilities(kinds: np.ndarray, voted: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The EM estimate for each combination (kind number, row of votes, count) that it is personal data.
 
-def reliabilities(combos: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """combos (kind, v*, n) with `posterior`: the EM estimate that such a candidate is personal data.
-
-    Each labeler has, for data and for non-data, a probability of each vote; each kind has a prior. A
-    round is one aggregation over combos; it brings back the parameters, 6 numbers a labeler and one a kind.
+    Each labeler has, for data and for non-data, a probability of each vote; each kind has a prior. A few
+    pseudo-votes keep a labeler that never spoke at its start, at which labelers are right rather than wrong.
     """
-    # the start: labelers are right rather than wrong
-    table = {(k, v): (0.6 if v == 1 else 0.1 if v == -1 else 0.3, 0.1 if v == 1 else 0.6 if v == -1 else 0.3) for k in range(N_VOTES) for v in (-1, 0, 1)}
-    prior = {kind: 0.8 for kind in KINDS}
-
-    def posterior() -> Column:
-        odds = F.lit(0.0)
-        for kind, p in prior.items():
-            odds = odds + F.when(F.col("kind") == kind, F.lit(_log_odds(p, 1 - p))).otherwise(0.0)
-        for (k, v), (p, q) in table.items():
-            odds = odds + F.when(F.col(f"v{k}") == v, F.lit(_log_odds(p, q))).otherwise(0.0)
-        return 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))
+    start = np.array([[0.1, 0.3, 0.6], [0.6, 0.3, 0.1]])  # data, non-data by vote -1, 0, 1
+    table, prior = np.repeat(start[:, None, :], N_VOTES, axis=1), np.full(len(KINDS), 0.8)
+    spoke = np.stack([voted == v for v in (-1, 0, 1)], axis=2).astype(float)
+    of_kind = kinds[:, None] == np.arange(len(KINDS))
+    clip = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
+
+    def posterior() -> np.ndarray:
+        odds = np.log(clip(prior) / clip(1 - prior))[kinds] + (spoke * np.log(clip(table[0]) / clip(table[1]))).sum(axis=(1, 2))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     for _ in range(rounds):
-        weighted = combos.withColumn("p", posterior())
-        yes, no = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        got = weighted.agg(
-            F.sum(yes).alias("yes"), F.sum(no).alias("no"),
-            *(F.sum(F.when(F.col(f"v{k}") == v, w)).alias(f"{name}_{k}_{v + 1}") for k, v in table for name, w in (("y", yes), ("n", no))),
-            *(F.sum(F.when(F.col("kind") == kind, w)).alias(f"{name}_{kind}") for kind in KINDS for name, w in (("py", yes), ("pn", no))),
-        ).first()
-        if got["yes"] is None:
-            break
-        # a few pseudo-votes keep a labeler that never spoke at its start
-        table = {(k, v): (((got[f"y_{k}_{v + 1}"] or 0) + 2 * p) / (got["yes"] + 2), ((got[f"n_{k}_{v + 1}"] or 0) + 2 * q) / (got["no"] + 2)) for (k, v), (p, q) in table.items()}
-        prior = {kind: min(0.95, ((got[f"py_{kind}"] or 0) + 1.6) / ((got[f"py_{kind}"] or 0) + (got[f"pn_{kind}"] or 0) + 2)) for kind in prior}
-    return combos.withColumn("posterior", posterior())
-
-
-def _linear(theta: list[float]) -> Column:
-    out = F.lit(theta[0])
-    for k in range(N_VOTES):
-        out = out + F.lit(theta[1 + k]) * F.col(f"v{k}")
-    for j, kind in enumerate(KINDS):
-        out = out + F.when(F.col("kind") == kind, F.lit(theta[1 + N_VOTES + j])).otherwise(0.0)
-    return out
+        weights = np.stack([n * posterior(), n * (1 - posterior())])
+        counts = np.einsum("sc,clv->slv", weights, spoke)
+        table = (counts + 2 * table) / (weights.sum(axis=1)[:, None, None] + 2)
+        yes, no = weights @ of_kind
+        prior = np.minimum(0.95, (yes + 1.6) / (yes + no + 2))
+    return posterior()
 
 
-def train(posteriors: DataFrame, steps: int = STEPS) -> list[float]:
+def train(kinds: np.ndarray, voted: np.ndarray, n: np.ndarray, posterior: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Weights of the span classifier (bias, votes, kinds): gradient steps on the log loss against the posteriors."""
-    size = 1 + N_VOTES + len(KINDS)
-    theta, speed = [0.0] * size, [0.0] * size
-    features = [F.lit(1.0), *(F.col(f"v{k}").cast("double") for k in range(N_VOTES)), *((F.col("kind") == kind).cast("double") for kind in KINDS)]
+    features = np.column_stack([np.ones(len(n)), voted, kinds[:, None] == np.arange(len(KINDS))]).astype(float)
+    theta, speed = np.zeros(features.shape[1]), np.zeros(features.shape[1])
     for _ in range(steps):
-        error = F.col("n") * (1 / (1 + F.exp(-_linear(theta))) - F.col("posterior"))
-        got = posteriors.agg(F.sum("n").alias("n"), *(F.sum(error * f).alias(f"g{k}") for k, f in enumerate(features))).first()
-        if not got["n"]:
-            break
-        speed = [0.8 * s + got[f"g{k}"] / got["n"] + 0.001 * t for k, (s, t) in enumerate(zip(speed, theta, strict=True))]
-        theta = [t - 1.0 * s for t, s in zip(theta, speed, strict=True)]
+        error = n * (1 / (1 + np.exp(-features @ theta)) - posterior)
+        speed = 0.8 * speed + error @ features / n.sum() + 0.001 * theta
+        theta = theta - speed
     return theta
 
 
+def classifier(combos: DataFrame) -> Column:
+    """The probability that a voted candidate is personal data, fitted to the combinations (kind, v*, n)."""
+    rows = combos.collect()  # at most 3 ** N_VOTES rows a kind
+    theta = np.zeros(1 + N_VOTES + len(KINDS))
+    if rows:
+        kinds, n = np.array([ORDER[r.kind] for r in rows]), np.array([r.n for r in rows], float)
+        voted = np.array([[r[f"v{k}"] for k in range(N_VOTES)] for r in rows])
+        theta = train(kinds, voted, n, reliabilities(kinds, voted, n))
+    score = F.lit(float(theta[0]))
+    for k in range(N_VOTES):
+        score = score + F.lit(float(theta[1 + k])) * F.col(f"v{k}")
+    kind = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(float(theta[1 + N_VOTES + j]))) for kind, j in ORDER.items()))
+    return 1 / (1 + F.exp(-(score + kind)))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, x, kind, start, end, match, probability) of the spans that stay."""
     voted = cut(votes(candidates(docs)))
-    combos = cut(voted.groupBy("kind", *(f"v{k}" for k in range(N_VOTES))).agg(F.count(F.lit(1)).alias("n")))  # at most 3**N_VOTES rows a kind, some hundred in fact
-    theta = train(reliabilities(combos))
-    judged = voted.withColumn("probability", 1 / (1 + F.exp(-_linear(theta))))
-    return judged.filter(F.col("ok") | (F.col("kind").isin(*ADDED) & (F.col("probability") >= KEEP_AT) & (F.col("v0") == 1))).select("doc_id", "x", "kind", "start", "end", "match", "ok", "probability")
+    combos = voted.groupBy("kind", *(f"v{k}" for k in range(N_VOTES))).agg(F.count(F.lit(1)).alias("n"))
+    judged = voted.withColumn("probability", classifier(combos))
+    return judged.filter(F.col("ok") | (F.col("kind").isin(*ADDED) & (F.col("probability") >= KEEP_AT))).select("doc_id", "x", "kind", "start", "end", "match", "ok", "probability")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
