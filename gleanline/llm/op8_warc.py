@@ -1,18 +1,20 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are sorted by page_id within shards that are ranges of page_id of about equal bytes; the
-ranges follow from a histogram of the ids, so the same pages give the same shards, and a shard is
-written by one task. It rolls its files by compressed size, makes every header, length and digest
-anew, and gives each record a gzip member of its own. A file gets its name only when it is complete
-(it is written under a name of its attempt and renamed), and only files in the manifest, which Spark
-commits last, belong to the archive: a lost executor's shard is written again with the same bytes.
+ranges follow from a histogram of the ids, whose heavy bins are split again until none is heavier than
+a shard or it is a single id. So the same pages give the same shards whatever their ids look like, and
+each shard has a task of its own. It rolls its files by compressed size, makes every header, length and
+digest anew, and gives each record a gzip member of its own. A file gets its name only when it is
+complete (it is written under a name of its attempt and renamed), and only files in the manifest, which
+Spark commits last, belong to the archive: a lost executor's shard is written again with the same
+bytes, and what failed attempts have left is removed at the end.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the largest page_id is a
 response and the others are revisits without payload, which keep its length and digest in their headers.
 
 Edge cases: a null html is an empty payload; rows that repeat a page_id and payload count as copies:
-the first written is the response, if any is; a null page_id is always a response; line breaks in a
-url become %0D and %0A, a null url an empty target; an empty table gives no files and an empty result;
+the first written is the response, if any is, and record ids stay unique; a null page_id is always a
+response, dealt to the shards by its payload; line breaks in a url become %0D and %0A, a null url an empty target; an empty table gives no files and an empty result;
 further columns are left out.
 """
 
@@ -24,17 +26,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import scratch
+from gleanline.llm.common import cut, scratch
 
 MIN_REVISIT = 1000
-#: Compressed bytes after which a file is rolled, and payload bytes of a shard.
-FILE_BYTES, SHARD_BYTES = 64 << 20, 8 << 20
-#: Ranges of ids that the histogram tells apart.
-BINS = 16384
+#: Compressed bytes after which a file is rolled, least payload bytes of a shard, and most shards.
+FILE_BYTES, SHARD_BYTES, MAX_SHARDS = 1 << 20, 8 << 20, 1 << 16
+#: Ranges of ids that the histogram tells apart at first, and into how many a heavy one is split.
+BINS, SPLIT = 16384, 16
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,13 +53,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to=None, revisit: bool = False) -> bytes:
-    """A WARC/1.1 record as one gzip member."""
+def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to=None, revisit: bool = False, copy: int = 0) -> bytes:
+    """A WARC/1.1 record as one gzip member; copy: how many records of this page_id and payload precede it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}:{digest}')}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}:{digest}' + f':{copy}' * (copy > 0))}>",
         f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
     ]
     if page_id is not None:
@@ -67,35 +71,69 @@ def record(page_id, url: str | None, payload: bytes, digest: str, size: int, ref
     return squeeze.compress("\r\n".join(lines).encode() + b"\r\n\r\n") + squeeze.compress(block) + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
 
 
-def shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(least id, ids a bin, shard of each bin): ranges of about shard_bytes, from a histogram of at most BINS + 1 rows."""
-    edge = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+def shards(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """The least page_id of each shard after the first, for pages (page_id, bytes): ranges of about shard_bytes.
+
+    A level of the histogram splits the bins that are too heavy; there are at most MAX_SHARDS of these,
+    so that at most BINS + SPLIT * MAX_SHARDS sums come back at a time.
+    """
+    sizes = sizes.filter("page_id IS NOT NULL")
+    edge = sizes.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
     if edge.lo is None:
-        return 0, 1, [0]
+        return []
     width = max(1, -(-(edge.hi - edge.lo + 1) // BINS))
-    sums = {r.b: r.n for r in pages.filter("page_id is not null").groupBy(F.expr(f"(page_id - {edge.lo}) DIV {width}").alias("b")).agg(F.sum(F.octet_length("html") + F.lit(500)).alias("n")).collect()}
+    found = lambda rows, lo: {r.lo: r.n for r in rows.groupBy(lo.alias("lo")).agg(F.sum("bytes").alias("n")).collect()}
+    bins = found(sizes, F.expr(f"{edge.lo} + (page_id - {edge.lo}) DIV {width} * {width}").cast("long"))
+    rows = sizes.select("page_id", "bytes", F.expr(f"{edge.lo} + (page_id - {edge.lo}) DIV {width} * {width}").cast("long").alias("bin"))
+    while width > 1 and (heavy := [lo for lo, n in bins.items() if n > shard_bytes]):
+        width = -(-width // SPLIT)
+        these = sizes.sparkSession.createDataFrame([(x,) for x in heavy], "bin long")  # at most MAX_SHARDS rows
+        rows = rows.join(F.broadcast(these), "bin").withColumn("bin", F.expr(f"bin + (page_id - bin) DIV {width} * {width}").cast("long"))
+        for x in heavy:
+            del bins[x]
+        bins |= found(rows, F.col("bin"))
     out, total = [], 0
-    for b in range(int((edge.hi - edge.lo) // width) + 1):
-        out.append(int(total // shard_bytes))
-        total += sums.get(b, 0) or 0
-    return edge.lo, width, out
+    for lo in sorted(bins):
+        if total and total + bins[lo] > shard_bytes:
+            out.append(lo)
+            total = 0
+        total += bins[lo]
+    return out
 
 
 def planned(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pages and revisit marks by shard and id, each mark before the rows that it is for."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    narrow = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).filter(f"size >= {MIN_REVISIT} AND page_id IS NOT NULL")
+    sizes = cut(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")))
+    narrow = sizes.filter(f"size >= {MIN_REVISIT} AND page_id IS NOT NULL")
     largest = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     marks = narrow.join(largest, "digest").select("page_id", "digest", "refers_to").distinct()
-    lo, width, of_bin = shards(rows, shard_bytes)
-    bin_of = F.expr(f"(page_id - {lo}) DIV {width}")
+    weighed = sizes.select("page_id", (F.col("size") + 500).cast("long").alias("bytes"))
+    total = weighed.agg(F.sum("bytes")).first()[0] or 0
+    starts = shards(weighed, max(shard_bytes, -(-total // MAX_SHARDS)))
+    n = len(starts) + 1
+    edges, keys = np.array(starts, np.int64), np.array(own_partitions(pages.sparkSession, n), np.int64)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
+
+    @F.pandas_udf("long")
+    def key_of(shard: pd.Series) -> pd.Series:
+        return pd.Series(keys[shard.to_numpy()])
+
     both = rows.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to")
     )
-    table = pages.sparkSession.createDataFrame(list(enumerate(of_bin)), "_bin long, shard int")  # at most BINS + 1 rows
-    both = both.withColumn("_bin", bin_of).join(F.broadcast(table), "_bin", "left").withColumn("shard", F.coalesce("shard", F.lit(0))).drop("_bin")
-    n = max(of_bin) + 1
-    return both.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = both.withColumn("shard", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")).otherwise(shard_of(F.coalesce("page_id", F.lit(0)).cast("long"))))
+    return both.withColumn("_key", key_of("shard")).repartition(n, "_key").drop("_key").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+
+
+def own_partitions(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions the least number that repartition() deals to it, so that no two shards meet in one."""
+    spread = spark.range(40 * n + 200).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("key"))
+    of = {r.p: r.key for r in spread.collect()}
+    return [of.get(p, p) for p in range(n)]
 
 
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
@@ -115,7 +153,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
                 done.append((state["name"], state["records"], state["bytes"], state["sum"].hexdigest()))
                 out = None
 
-        shard, roll, mark, last = None, 0, (None, None, None), (None, None)
+        shard, roll, mark, last, copy = None, 0, (None, None, None), None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
@@ -132,11 +170,10 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
                     state = {"name": name, "temp": f"{root}/.{name}.{uuid.uuid4().hex}.tmp", "records": 0, "bytes": 0, "sum": hashlib.sha1()}
                     out = fs.open_output_stream(state["temp"], compression=None)
                 key = (row["page_id"], row["digest"])
-                repeated = key == last
-                revisit = mark[:2] == key and (mark[2] != row["page_id"] or repeated)
-                last = key
+                copy, last = copy + 1 if key == last else 0, key
+                revisit = mark[:2] == key and (mark[2] != row["page_id"] or copy > 0)
                 payload = row["html"].encode()
-                raw = record(row["page_id"], row["url"], payload, row["digest"], len(payload), mark[2], revisit)
+                raw = record(row["page_id"], row["url"], payload, row["digest"], len(payload), mark[2], revisit, copy)
                 out.write(raw)
                 state["records"] += 1
                 state["bytes"] += len(raw)
@@ -147,9 +184,20 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
 
     manifest = f"{folder}/manifest"
     planned(pages, shard_bytes).mapInArrow(run, "file string, records long, bytes long, sha1 string").write.json(manifest)
+    swept(folder)
     return manifest
 
 
+def swept(folder: str) -> None:
+    """Removes what attempts that did not end have left in a folder whose manifest is complete."""
+    from pyarrow.fs import FileSelector
+
+    fs, root = filesystem(folder)
+    for file in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+        if file.base_name.startswith(".") and file.base_name.endswith(".tmp"):
+            fs.delete_file(file.path)
+
+
 def members(stream) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     raw = stream.read(1 << 20)
