@@ -9,7 +9,8 @@ earlier. Shorter repeats and lines without content are left alone.
 
 Edge cases: a null text stays null; texts of fewer than three content lines stay as they are; rows
 that repeat a (doc_id, text) are one document and all get its result; a null doc_id sorts first; an
-empty table gives an empty result; further columns are carried along.
+empty table gives an empty result; dedup() gives n_lines and n_removed beside the text, keyed like
+its input, and stage() keeps all further columns whatever their names.
 """
 
 from __future__ import annotations
@@ -50,17 +51,19 @@ def covered(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text rewritten, and n_lines and n_removed added."""
-    cuts = covered(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("x", "_x").withColumnRenamed("cut", "_cut")
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_x")), "left")
+    """(doc_id, text, n_lines, n_removed, doc): each row's text rewritten; doc is the row as it was, in a struct."""
+    cuts = covered(docs).select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), F.col("cut").alias("_cut"))
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"))
+    joined = rows.withColumn("_key", F.xxhash64("text")).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_x")), "left")
     lines = F.split("text", "\n", -1)
     # a line and its mark sort side by side (the mark first), so one look at the neighbour decides: linear in the lines
     marks = F.transform(F.coalesce("_cut", F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"), F.lit("").alias("line")))
     whole = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), line.alias("line")))
     joined = joined.withColumn("_all", F.when(F.col("_cut").isNotNull(), F.array_sort(F.concat(marks, whole))))
     kept = F.filter("_all", lambda s, k: (s["kind"] == 1) & ((k == 0) | (F.get("_all", k - 1)["i"] != s["i"])))
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.coalesce(F.when(F.col("_cut").isNotNull(), F.size("_cut")), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))).drop("_id", "_x", "_cut", "_key", "_all")
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return joined.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.when(F.col("_cut").isNotNull(), F.size("_cut")), F.lit(0)).cast("long").alias("n_removed"), "doc")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +73,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents without their later copies of three-line windows; one that loses all its lines goes. n_chars follows the text."""
     out = dedup(docs).filter((F.col("n_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike(CONTENT))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 #: What dedup() does to a table of documents, as a WITH list that ends in `dedup` (doc_id, n_lines, n_removed, text).

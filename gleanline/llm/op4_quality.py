@@ -6,8 +6,9 @@ mask v. New policies and ablations (what would rule r alone drop, what would go
 read the ledger only, by bitwise aggregation; no text is read again.
 
 Edge cases: a null or empty text has no word and fails the base rule; repeated rows are judged each
-for itself; an empty table gives an empty ledger; further columns of the input are kept by ledger()
-and left out of the query's result.
+for itself; an empty table gives an empty ledger; further columns of the input are kept by ledger(), but
+for those named like a measurement or failed_bits, which the ledger's own replace, and left out of
+the query's result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ RULES: list[tuple[str, str]] = [
     ("short_words", "n_words >= 10 AND word_chars < 2 * n_words"),
     ("long_words", "n_words >= 10 AND word_chars > 16 * n_words"),
     ("repeated_lines", "n_lines >= 6 AND 100 * n_dup_lines > 50 * n_lines"),
-    ("few_distinct_words", "n_words >= 50 AND 100 * n_distinct_words < 8 * n_words AND n_words < 2000"),
+    ("few_distinct_words", "n_words >= 50 AND n_distinct_words * n_distinct_words < 4 * n_words"),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: Versioned policies: the rules that reject a document. The newest is in force.
@@ -41,6 +42,7 @@ POLICIES: dict[str, list[str]] = {
     "base": ["too_few_words", "repeated_windows"],
     "v1": ["too_few_words", "repeated_windows", "symbols", "short_words", "long_words"],
     "v2": ["too_few_words", "repeated_windows", "symbols", "capitals", "short_words", "long_words", "repeated_lines"],
+    "v3": ["too_few_words", "repeated_windows", "symbols", "capitals", "short_words", "long_words", "repeated_lines", "few_distinct_words"],
 }
 IN_FORCE = "v2"
 
@@ -93,14 +95,15 @@ def _lines(text: str) -> tuple[int, int, int]:
 def ledger(docs: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """docs with MEASURES and failed_bits."""
 
+    kept = [c for c in docs.columns if c not in ("text", "failed_bits", *MEASURES)]
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in textbatch.slices(b)):
             found = measure(batch.column("text"))
-            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x.astype(np.int64)) for x in found)], [*kept, *MEASURES])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    out = docs.mapInArrow(measured, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
+    out = docs.select("text", *(f"`{c}`" for c in kept)).mapInArrow(measured, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(rules)), F.lit(0)).cast("long")
     return out.withColumn("failed_bits", bits)
 
@@ -129,3 +132,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(documents(spark, sf_dir).select("doc_id", "text"))
     judged = apply_policy(apply_policy(rows, IN_FORCE), "base", "_base")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "failed_bits")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy in force drops, by source: the ledger's ablation over all documents."""
+    return ablation(ledger(documents(spark, sf_dir).select("source", "text")), IN_FORCE, ["source"])
