@@ -31,8 +31,8 @@ from gleanline.llm.common import cut, documents, numbered
 CAPACITY = 2048
 END = 1
 #: Words that a task's vocabulary cache holds before it starts anew, and ids in it.
-CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
-ROWS_PER_BLOCK = 200_000
+CACHE_WORDS, CACHE_IDS = 200_000, 1_000_000
+ROWS_PER_BLOCK = 20_000
 
 
 def vocabulary() -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once; numpy needs some 30 bytes for each of them.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Words longer than this are hashed one by one.
 LONG_WORD = 128
 
