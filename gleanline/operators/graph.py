@@ -52,3 +52,206 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "component")
         if new.filter("old != component").isEmpty():
             return labels
+
+
+#: Files of a group up to which each is linked with each; larger groups are linked as a chain.
+CLIQUE = 40
+#: Files that declare a name, and that call it, up to which the name links them; least weight that holds files together.
+MAX_DECLARING, MAX_CALLERS, STRONG = 3, 8, 0.5
+
+
+def group_edges(files: DataFrame, group: list[str], weight: float, reason: str) -> DataFrame:
+    """(a, b, weight, reason): links within groups of files: all pairs of a small group, neighbours by name in a large one."""
+    from pyspark.sql import Window
+
+    rows = files.select(*group, "file").distinct()
+    by = Window.partitionBy(*group)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_before", F.lag("file").over(by.orderBy("file")))
+    small = rows.filter(F.col("_n") <= CLIQUE).select(*group, "file")
+    pairs = small.withColumnRenamed("file", "a").join(small.withColumnRenamed("file", "b"), group).filter("a < b").select("a", "b")
+    chain = rows.filter((F.col("_n") > CLIQUE) & F.col("_before").isNotNull()).select(F.col("_before").alias("a"), F.col("file").alias("b"))
+    return pairs.unionByName(chain).withColumn("weight", F.lit(weight)).withColumn("reason", F.lit(reason))
+
+
+def collect_edges(edges: DataFrame) -> DataFrame:
+    """One edge for each pair of files and reason, the strongest, its ends in order."""
+    rows = edges.filter("a <> b AND weight > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", "reason")
+    return rows.groupBy("a", "b", "reason").agg(F.max("weight").alias("weight"))
+
+
+def call_edges(declaring: DataFrame, calling: DataFrame, refers: DataFrame) -> DataFrame:
+    """(a, b, weight, reason): a file that calls a name with the files that declare it and that it refers to.
+
+    declaring, calling: name, file; refers: a (the caller), b. Names that too many files declare or call tell nothing.
+    """
+    by_name = lambda rows, most: rows.distinct().join(rows.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select("name"), "name")
+    known = calling.join(declaring.select("name").distinct(), "name", "left_semi")
+    pairs = by_name(known, MAX_CALLERS).select("name", F.col("file").alias("a")).join(by_name(declaring, MAX_DECLARING).select("name", F.col("file").alias("b")), "name").filter("a <> b")
+    linked = pairs.select("a", "b").distinct().join(refers.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    return linked.select("a", "b", F.lit(1.0).alias("weight"), F.lit("call").alias("reason"))
+
+
+def affinity(edges: DataFrame) -> DataFrame:
+    """(a, b, weight, strongest): the sum of a pair's weights over its reasons, and the reason that weighs most."""
+    return collect_edges(edges).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max(F.struct("weight", "reason"))["reason"].alias("strongest"))
+
+
+# How tests are named after what they test, by family of languages.
+FAMILIES = {"js": "js jsx mjs cjs ts tsx mts cts vue svelte", "python": "py", "go": "go", "java": "java kt kts scala", "ruby": "rb", "rust": "rs", "php": "php", "csharp": "cs", "elixir": "ex exs"}
+TEST_NAMES = {"js": r"^(.+)[._-](?:test|spec)$", "python": r"^(?:test_(.+)|(.+)_test)$", "go": r"^(.+)_test$", "java": r"^(?:(.+?)(?:Tests?|Spec|IT)|Test(.+))$", "ruby": r"^(.+)_(?:spec|test)$", "rust": r"^(.+)_test$", "php": r"^(.+)Test$", "csharp": r"^(.+?)Tests?$", "elixir": r"^(.+)_test$"}
+TEST_DIRS, NEUTRAL = ["test", "tests", "__tests__", "spec", "specs"], ["src", "lib", "app", "main", "java", "kotlin", "test", "tests", "__tests__", "spec", "specs", "unit", "integration"]
+
+
+def pair_tests(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, test, source): tests with the sources of their name in the likeliest directory, or with the only one of that name anywhere.
+
+    Directories are as likely as 3 (the same one, or a test directory within it) or 2 (the same but for neutral parts).
+    """
+    from pyspark.sql import Window
+
+    extension = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
+    family = F.coalesce(*(F.when(extension.isin(*e.split()), F.lit(f)) for f, e in FAMILIES.items()))
+    directory = F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(".")
+    rows = files.select(*keys, "file", family.alias("family"), directory.alias("dir"), F.regexp_extract("file", r"([^/]+?)\.[^./]+$", 1).alias("stem")).filter("family IS NOT NULL").distinct()
+    named = F.coalesce(*(F.when((F.col("family") == f) & F.col("stem").rlike(p), F.concat_ws("", *(F.coalesce(F.regexp_extract("stem", p, k), F.lit("")) for k in range(1, 1 + (2 if p.count("(.+") > 1 else 1))))) for f, p in TEST_NAMES.items()))
+    in_dir = F.arrays_overlap(F.split("dir", "/", -1), F.array(*map(F.lit, TEST_DIRS))) & ~F.col("family").isin("go", "python")
+    rows = rows.withColumn("subject", F.coalesce(named, F.when(in_dir, F.col("stem"))))
+    plain = F.array_join(F.filter(F.split("dir", "/", -1), lambda s: ~s.isin(".", *NEUTRAL)), "/")
+    rows = rows.withColumn("plain", plain).withColumn("above", F.when(F.regexp_extract("dir", r"([^/]+)$", 1).isin(*TEST_DIRS), F.when(F.contains("dir", F.lit("/")), F.regexp_replace("dir", "/[^/]*$", "")).otherwise(".")))
+    tests = rows.filter("subject IS NOT NULL").select(*keys, "family", F.col("subject").alias("stem"), F.col("file").alias("test"), F.col("dir").alias("t_dir"), F.col("plain").alias("t_plain"), "above")
+    sources = rows.filter("subject IS NULL").select(*keys, "family", "stem", F.col("file").alias("source"), "dir", "plain")
+    score = F.when((F.col("t_dir") == F.col("dir")) | (F.col("above") == F.col("dir")), 3).when(F.col("t_plain") == F.col("plain"), 2).otherwise(0)
+    met = tests.join(sources, [*keys, "family", "stem"]).withColumn("score", score)
+    of_test = Window.partitionBy(*keys, "test")
+    met = met.withColumn("best", F.max("score").over(of_test)).withColumn("n", F.count(F.lit(1)).over(of_test))
+    sure = F.col("best") >= F.when(F.col("family") == "go", 3).otherwise(2)
+    return met.filter((sure & (F.col("score") == F.col("best"))) | (~sure & (F.col("n") == 1) & (F.col("family") != "go"))).select(*keys, "test", "source")
+
+
+def split_components(members: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """members (group, file, size) with `piece`: groups beyond the budget are walked breadth first along the strongest edges and cut where a piece is full.
+
+    edges: group, a, b, weight within groups. The walk depends on itself, so a group, which is one chunk's component, is one call.
+    """
+    import pandas as pd
+
+    def run(key: tuple, files: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b, w in zip(links.a, links.b, links.weight, strict=True):
+            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0) + w
+            near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0) + w
+        size = dict(zip(files.file, files["size"], strict=True))
+        names = sorted(size)
+        if sum(size.values()) <= budget or len(names) == 1:
+            return pd.DataFrame({"group": key[0], "file": names, "piece": 0})
+        degree = {f: sum(w for n, w in near.get(f, {}).items() if n in size) for f in names}
+        seen, order = set(), []
+        for seed in sorted(names, key=lambda f: (-degree[f], f)):
+            if seed in seen:
+                continue
+            queue, head = [seed], 0
+            seen.add(seed)
+            while head < len(queue):
+                here, head = queue[head], head + 1
+                order.append(here)
+                for n, _ in sorted(near.get(here, {}).items(), key=lambda x: (-x[1], x[0])):
+                    if n in size and n not in seen:
+                        seen.add(n)
+                        queue.append(n)
+        piece, used, out = 0, 0, []
+        for f in order:
+            alone = size[f] > budget
+            if used and (alone or used + size[f] > budget):
+                piece, used = piece + 1, 0
+            out.append((key[0], f, piece))
+            used += size[f]
+            if alone:
+                piece, used = piece + 1, 0
+        return pd.DataFrame(out, columns=["group", "file", "piece"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    return members.groupBy("group").cogroup(edges.withColumnRenamed("group", "_group").groupBy("_group")).applyInPandas(run, f"group {kinds['group']}, file {kinds['file']}, piece long")
+
+
+def pack_items(items: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """items (group, item, tokens) with `bin`: the largest first, each into the open bin with room that it has the strongest links with, else the first with room.
+
+    edges: group, a, b, weight. Each choice depends on the earlier ones, so a group (one review) is one call.
+    """
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b, w in zip(links.a, links.b, links.weight, strict=True):
+            near.setdefault(a, []).append((b, w))
+            near.setdefault(b, []).append((a, w))
+        used, where, out = [], {}, []
+        for item, n in sorted(zip(rows["item"], rows.tokens, strict=True), key=lambda x: (-x[1], x[0])):
+            pull: dict = {}
+            for other, w in near.get(item, ()):
+                if other in where:
+                    pull[where[other]] = pull.get(where[other], 0) + w
+            open_ = [k for k, u in enumerate(used) if u + n <= budget]
+            best = max(open_, key=lambda k: (pull.get(k, 0), -k)) if open_ else len(used)
+            if best == len(used):
+                used.append(0)
+            used[best] += n
+            where[item] = best
+            out.append((key[0], item, best))
+        return pd.DataFrame(out, columns=["group", "item", "bin"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    return items.groupBy("group").cogroup(edges.withColumnRenamed("group", "_group").groupBy("_group")).applyInPandas(run, f"group {kinds['group']}, item {kinds['item']}, bin long")
+
+
+def order_files(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """files (group, file, is_test) with `place`: each behind what it imports within its group, sources before tests, else by name; cycles break where they are first met."""
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        wants: dict = {}
+        for a, b in zip(links.a, links.b, strict=True):
+            wants.setdefault(a, set()).add(b)
+        tests = dict(zip(rows.file, rows.is_test, strict=True))
+        seen, out = set(), []
+        for root in sorted(tests, key=lambda f: (tests[f], f)):
+            stack = [(root, iter(sorted(wants.get(root, set()) & set(tests) - {root})))] if root not in seen else []
+            seen.add(root)
+            while stack:
+                here, rest = stack[-1]
+                step = next((d for d in rest if d not in seen), None)
+                if step is None:
+                    out.append(here)
+                    stack.pop()
+                else:
+                    seen.add(step)
+                    stack.append((step, iter(sorted(wants.get(step, set()) & set(tests) - {step}))))
+        return pd.DataFrame({"group": key[0], "file": out, "place": range(len(out))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+    return files.groupBy("group").cogroup(imports.withColumnRenamed("group", "_group").groupBy("_group")).applyInPandas(run, f"group {kinds['group']}, file {kinds['file']}, place long")
+
+
+def split_chunks(parts: DataFrame, chunk: str) -> DataFrame:
+    """parts (chunk, at, file, tokens) with `half`, 1 or 2: cut at the file boundary nearest the middle, within a file only if there is no other; chunks of one part are left out."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy(chunk)
+    rows = parts.withColumn("_acc", F.sum("tokens").over(by.orderBy("at"))).withColumn("_total", F.sum("tokens").over(by)).withColumn("_next", F.lead("file").over(by.orderBy("at"))).withColumn("_last", F.max("at").over(by))
+    gap = F.abs(F.col("_total") - 2 * F.col("_acc")) + F.when(F.col("_next") != F.col("file"), 0).otherwise(2 * F.col("_total"))
+    cut_at = F.min(F.when(F.col("at") < F.col("_last"), F.struct(gap.alias("g"), F.col("at").alias("at")))).over(by)["at"]
+    rows = rows.withColumn("_cut", cut_at).filter("_cut IS NOT NULL")
+    return rows.withColumn("half", F.when(F.col("at") <= F.col("_cut"), 1).otherwise(2)).drop("_acc", "_total", "_next", "_last", "_cut")
+
+
+def enclosing(lines: DataFrame, keys: list[str], back: int = 300) -> DataFrame:
+    """(keys, at, name, decl_at): the nearest declaration at or above each wanted line of a file that is not indented deeper.
+
+    lines: keys, at, indent (null: a blank line), name (what the line declares, or null), wanted. A file's
+    declarations travel in one array; a wanted line looks back over the last `back` of them.
+    """
+    declared = F.filter(F.array_sort(F.collect_list(F.struct("at", "indent", "name"))), lambda d: d["name"].isNotNull() & d["indent"].isNotNull())
+    asked = F.collect_list(F.when(F.col("wanted"), F.struct("at", "indent")))
+    rows = lines.groupBy(*keys).agg(declared.alias("_d"), asked.alias("_w")).select(*keys, "_d", F.explode("_w").alias("_l"))
+    near = F.filter("_d", lambda d: (d["at"] <= F.col("_l.at")) & (d["at"] >= F.col("_l.at") - back) & (F.col("_l.indent").isNull() | (d["indent"] <= F.col("_l.indent"))))
+    return rows.withColumn("_n", F.element_at(F.when(F.size(near) > 0, near), -1)).filter("_n IS NOT NULL").select(*keys, F.col("_l.at").alias("at"), F.col("_n.name").alias("name"), F.col("_n.at").alias("decl_at"))

@@ -16,27 +16,47 @@ def similarity(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+#: Lines of a block in which kept findings are looked up.
+BLOCK = 32
+
+
 def dedupe(findings: DataFrame, keys: list[str], slack: int = 2, at_least: float = 0.5, same_span: float = 0.15) -> DataFrame:
     """findings (keys, start, end, category, title, confidence) without duplicates of a stronger one, by file.
 
     A finding is one if its range overlaps a kept one's within the slack and their titles are similar:
-    at_least in general, same_span if range and category agree. Kept ones count what they stand for in `merged`.
+    at_least in general, same_span if range and category agree. It joins the first such one, the surest
+    first. Kept ones count what they stand for in `merged`; of the columns chunks and skills (arrays) they
+    take the union, of non_rejectable the or, of tool the first that is not null, where there are such.
+    Kept ones are looked up by blocks of lines, so that a file of many findings isn't compared all with all.
     """
+    names, unions = findings.columns, [c for c in ("chunks", "skills") if c in findings.columns]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["confidence", "start", "end", "title"], ascending=[False, True, True, True], kind="stable")
-        kept: list[tuple] = []
+        ties = [c for c in ("start", "end", "title", "id") if c in rows.columns]
+        rows = rows.sort_values(["confidence", *ties], ascending=[False, *[True] * len(ties)], kind="stable")
+        kept, by_block = [], {}
         for k, r in enumerate(rows.itertuples(index=False)):
             words = _words(r.title)
-            for x in kept:
-                bar = same_span if (r.start, r.end, r.category) == x[1:4] else at_least
-                if r.start <= x[2] + slack and r.end >= x[1] - slack and similarity(words, x[4]) >= bar:
-                    x[5][0] += 1
+            blocks = range((r.start - slack) // BLOCK, (r.end + slack) // BLOCK + 1)
+            for j in sorted({j for b in blocks for j in by_block.get(b, ())}):
+                x = kept[j]
+                bar = same_span if (r.start, r.end, r.category) == x["span"] else at_least
+                if r.start <= x["span"][1] + slack and r.end >= x["span"][0] - slack and similarity(words, x["words"]) >= bar:
+                    x["rows"].append(k)
                     break
             else:
-                kept.append((k, r.start, r.end, r.category, words, [1]))
-        out = rows.iloc[[x[0] for x in kept]].copy()
-        return out.assign(merged=[x[5][0] for x in kept])
+                for b in range(r.start // BLOCK, r.end // BLOCK + 1):
+                    by_block.setdefault(b, []).append(len(kept))
+                kept.append({"span": (r.start, r.end, r.category), "words": words, "rows": [k]})
+        out = rows.iloc[[x["rows"][0] for x in kept]].copy()
+        groups = [rows.iloc[x["rows"]] for x in kept]
+        for c in unions:
+            out[c] = [sorted({v for values in g[c] for v in values}) for g in groups]
+        if "non_rejectable" in names:
+            out["non_rejectable"] = [bool(g["non_rejectable"].any()) for g in groups]
+        if "tool" in names:
+            out["tool"] = [next((v for v in g["tool"] if v is not None), None) for g in groups]
+        return out.assign(merged=[len(g) for g in groups])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema.fields), "merged long"])
     return findings.groupBy(*keys).applyInPandas(run, schema)

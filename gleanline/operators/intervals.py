@@ -31,5 +31,9 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], slack: int, block:
     first = F.col("_block") == F.floor(F.greatest(F.col("start") - slack, F.col("start_b")) / block)
     if how == "inner":
         return left.join(right, [*keys, "_block"]).filter(meets & first).drop("_block")
-    met = left.join(right.withColumnsRenamed({k: f"{k}_b" for k in keys}).withColumnRenamed("_block", "_block_b"), [*(F.col(k) == F.col(f"{k}_b") for k in keys), F.col("_block") == F.col("_block_b"), meets], "left_semi").select(*a.columns).distinct()
-    return met if how == "left_semi" else a.join(met.withColumnsRenamed({c: f"_m_{c}" for c in a.columns}), [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in a.columns], "left_anti")
+    # whether a row meets any other follows from its keys and range alone, so only these are dealt, and repeated rows stay
+    narrow = a.select(*keys, "start", "end").distinct().withColumn("_block", _blocks(F.col("start") - slack, F.col("end") + slack, block))
+    met = narrow.join(right.withColumnsRenamed({k: f"{k}_b" for k in keys}).withColumnRenamed("_block", "_block_b"), [*(F.col(k) == F.col(f"{k}_b") for k in keys), F.col("_block") == F.col("_block_b"), meets], "left_semi").select(*keys, "start", "end").distinct()
+    names = [*keys, "start", "end"]
+    met = met.withColumnsRenamed({c: f"_m_{c}" for c in names})
+    return a.join(met, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in names], how)

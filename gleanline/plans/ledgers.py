@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
-from gleanline.operators import graph, intervals
+from gleanline.operators import graph, intervals, ledger
 from gleanline.plans.registry import query
 from gleanline.plans.reviews import table
 
@@ -78,19 +78,23 @@ def cochange(spark, sf_dir):
     return graph.cochange(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_coupling=0.03)
 
 
-@query("affinity_components")
+@query("affinity_components", f"WITH RECURSIVE {_COCHANGE}, e AS (SELECT a, b FROM k WHERE coupling >= 0.05), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(v, w) AS (SELECT a, a FROM u UNION SELECT u.b, reach.w FROM reach JOIN u ON u.a = reach.v) SELECT v, min(w) AS component FROM reach GROUP BY v")
 def affinity_components(spark, sf_dir):
     return graph.components(graph.cochange(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_coupling=0.05))
 
 
-@query("longest_prefix", "WITH d AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS dir FROM pages) SELECT page_id, max(dir) AS root FROM pages JOIN d ON starts_with(url, dir) AND length(dir) = length(regexp_extract(url, '^([a-z]+://[^/]+)', 1)) GROUP BY page_id")
+_DIRS = "SELECT page_id, string_split(url, '/') AS p FROM pages"
+
+
+@query("longest_prefix", f"WITH s AS ({_DIRS}), d AS (SELECT DISTINCT array_to_string(p[1:3 + (page_id % 3)::INT], '/') AS dir FROM s WHERE page_id % 4 <> 0) SELECT page_id, arg_max(dir, length(dir)) AS root FROM pages JOIN d ON url = dir OR starts_with(url, concat(dir, '/')) GROUP BY page_id")
 def longest_prefix(spark, sf_dir):
-    """Each page's nearest declared ancestor: its ancestors are exploded and joined by equality."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    roots = pages.select(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("dir")).distinct()
+    """Each page's nearest declared ancestor, of declarations at three depths: its ancestors are exploded and joined by equality."""
     parts = F.split("url", "/", -1)
-    up = pages.select("page_id", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.size(parts), F.lit(3))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir"))
-    return up.join(roots, "dir").groupBy("page_id").agg(F.max_by("dir", F.length("dir")).alias("root"))
+    pages = table(spark, sf_dir, "pages").select("page_id", parts.alias("p"))
+    up_to = lambda k: F.array_join(F.slice("p", 1, k), "/")
+    declared = pages.filter("page_id % 4 <> 0").select(up_to((3 + F.col("page_id") % 3).cast("int")).alias("dir")).distinct()
+    up = pages.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), up_to)).alias("dir"))
+    return up.join(declared, "dir").groupBy("page_id").agg(F.max_by("dir", F.length("dir")).alias("root"))
 
 
 @query("dominant_owner", "SELECT c_nationkey, c_mktsegment AS owner, n FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment DESC) = 1")
@@ -102,8 +106,13 @@ def dominant_owner(spark, sf_dir):
 @query("cache_prune", f"SELECT doc_id, n_chars FROM (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS held FROM documents) WHERE held > {CACHE}")
 def cache_prune(spark, sf_dir):
     """Entries beyond a source's share of the cache, newest first."""
-    held = F.sum("n_chars").over(Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", held.alias("held")).filter(F.col("held") > CACHE).select("doc_id", "n_chars")
+    return ledger.running_sum(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", "held").filter(F.col("held") > CACHE).select("doc_id", "n_chars")
+
+
+@query("cache_stats", "SELECT source, count(*) AS entries, sum(n_chars)::BIGINT AS bytes, min(doc_id) AS oldest, max(doc_id) AS newest, count(*) FILTER (doc_id < 100) AS expired FROM documents GROUP BY source")
+def cache_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.sum("n_chars").alias("bytes"), F.min("doc_id").alias("oldest"), F.max("doc_id").alias("newest"), F.count_if(F.col("doc_id") < 100).alias("expired"))
 
 
 @query("version_order", "WITH v AS (SELECT p_partkey, concat(p_size, '.', p_partkey % 10) AS version FROM part), k AS (SELECT *, list_transform(string_split(version, '.'), lambda x: x::INT) AS key FROM v) SELECT p_partkey, version, (key[1] > 10 OR (key[1] = 10 AND key[2] >= 5)) AND key[1] < 30 AS satisfied FROM k")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
-from gleanline.operators import greedy, intervals, rules
+from gleanline.operators import greedy, intervals
+from gleanline.operators import textrules as rules
 from gleanline.plans.registry import query
 
 SCAN = rules.scan_sql()
@@ -66,9 +67,8 @@ _TAG = "CASE WHEN category = 'security' THEN 'kept' WHEN confidence < 0.5 THEN '
 @query("threshold_funnel", f"WITH {SCAN}, t AS (SELECT *, {_TAG} AS reason FROM final) SELECT (SELECT count(*) FROM hits) AS scanned, (SELECT count(*) FROM capped) AS capped, count(*) AS strongest, count(*) FILTER (reason = 'below-threshold') AS below_threshold, count(*) FILTER (reason = 'below-severity') AS below_severity, count(*) FILTER (reason = 'kept') AS kept, count(*) FILTER (reason = 'kept' AND category <> 'security' AND confidence < 0.7) AS advisory FROM t")
 def threshold_funnel(spark, sf_dir):
     found = rules.scan(rules.line_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    n = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("line"))
-    ranked = found.withColumn("n", n).withColumn("capped", F.col("n") <= rules.PER_RULE)
-    strong = Window.partitionBy("doc_id", "line").orderBy(F.desc("capped"), T.severity_rank(F.col("severity")), F.desc("confidence"), "rule_id")
+    ranked = found.withColumn("capped", rules.capped(found))
+    strong = Window.partitionBy("doc_id", "line", rules.spot_key(F.col("rule_id"))).orderBy(F.desc("capped"), T.severity_rank(F.col("severity")), F.desc("confidence"), "rule_id")
     tagged = ranked.withColumn("final", F.col("capped") & (F.row_number().over(strong) == 1)).withColumn("reason", F.expr(_TAG))
     of = lambda r: F.count_if(F.col("final") & (F.col("reason") == r))
     return tagged.agg(
@@ -78,12 +78,12 @@ def threshold_funnel(spark, sf_dir):
 
 
 @query("publication_plan", f"""WITH {SCAN}, t AS (SELECT f.*, CASE WHEN confidence < 0.5 THEN 'below-threshold' WHEN severity = 'info' THEN 'severity' WHEN line > 200 THEN 'outside-diff' END AS reason FROM final f),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, reason IS NULL ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, confidence DESC, line) AS k FROM t)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, reason IS NULL ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, confidence DESC, line, rule_id) AS k FROM t)
 SELECT doc_id, line::INT AS line, rule_id, coalesce(reason, CASE WHEN k > {INLINE_LIMIT} THEN 'limit' ELSE 'inline' END) AS placement FROM r""")
 def publication_plan(spark, sf_dir):
     reason = F.when(F.col("confidence") < 0.5, "below-threshold").when(F.col("severity") == "info", "severity").when(F.col("line") > 200, "outside-diff")
     rows = hits(spark, sf_dir).withColumn("reason", reason).withColumn("eligible", F.col("reason").isNull())
-    k = F.row_number().over(Window.partitionBy("doc_id", "eligible").orderBy(T.severity_rank(F.col("severity")), F.desc("confidence"), "line"))
+    k = F.row_number().over(Window.partitionBy("doc_id", "eligible").orderBy(T.severity_rank(F.col("severity")), F.desc("confidence"), "line", "rule_id"))
     return rows.withColumn("k", k).select("doc_id", "line", "rule_id", F.coalesce("reason", F.when(F.col("k") > INLINE_LIMIT, "limit").otherwise("inline")).alias("placement"))
 
 
@@ -159,13 +159,18 @@ def finding_match(spark, sf_dir):
     return greedy.match(scored, ["doc_id"])
 
 
-@query("turn_budget")
+_TURNS = "t AS (SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"
+
+
+@query("turn_budget", f"""WITH RECURSIVE {_TURNS}, r AS (SELECT conv_id, turn, n, k, n <= 2000 AS taken, 2000 - CASE WHEN n <= 2000 THEN n ELSE 0 END AS room FROM t WHERE k = 1
+UNION ALL SELECT t.conv_id, t.turn, t.n, t.k, t.n <= room, room - CASE WHEN t.n <= room THEN t.n ELSE 0 END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1) SELECT conv_id, turn, n, taken FROM r""")
 def turn_budget(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     return greedy.skip_fill(rows, ["conv_id"], "n", ["turn"], 2000)
 
 
-@query("turn_chunks")
+@query("turn_chunks", f"""WITH RECURSIVE {_TURNS}, r AS (SELECT conv_id, turn, n, k, 0::BIGINT AS chunk, n AS used FROM t WHERE k = 1
+UNION ALL SELECT t.conv_id, t.turn, t.n, t.k, chunk + CASE WHEN used > 0 AND used + t.n > 1000 THEN 1 ELSE 0 END, CASE WHEN used > 0 AND used + t.n > 1000 THEN t.n ELSE used + t.n END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1) SELECT conv_id, turn, n, chunk FROM r""")
 def turn_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     return greedy.reset_fill(rows, ["conv_id"], "n", ["turn"], 1000)
