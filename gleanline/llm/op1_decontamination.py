@@ -10,8 +10,9 @@ that chance hits and shorter runs fall away; what is left are the windows' exact
 Items of fewer than SPAN words are one window each. Those of at least K words are found by their
 first gram among all the grams of a document, shorter ones by all the words they have.
 
-The fingerprints of the benchmark are broadcast while there are at most `broadcast_rows` of them;
-beyond that both sides are shuffled by fingerprint, the document side salted, since a passage may
+A fingerprint carries the words around its gram that a window can reach, not the whole item. The
+benchmark's are broadcast while there are at most `broadcast_rows` of them and BROADCAST_BYTES of
+words; beyond that both sides are shuffled by fingerprint, the document side salted, since a passage may
 stand in a third of all documents.
 
 Edge cases: a null or empty text has no words, no hits and the digest of ''; items without words are
@@ -25,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import ascii_lower, documents
+from gleanline.llm.common import ascii_lower, cut, documents
 
 SPAN, K = 13, 5
-#: Benchmark fingerprints up to which they are broadcast: some 200 bytes each.
-BROADCAST_ROWS = 200_000
+#: Benchmark fingerprints up to which they are broadcast, and bytes of the words that they carry.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 SALTS = 16
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -88,15 +89,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     """(doc_id, item_id, lo, hi): ranges of words [lo, hi) of a document that are occurrences of windows of an item."""
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
     bench = items(benchmark)
-    marks = fingerprints(bench, ["item_id"]).select("f", "item_id", F.col("w").alias("iw"), F.col("p").alias("q"))
+    # only a gram's neighbourhood is carried along
+    from_ = F.greatest(F.col("p") - (SPAN - K), F.lit(0))
+    marks = cut(fingerprints(bench, ["item_id"]).select("f", "item_id", F.slice("w", from_ + 1, 2 * SPAN - K + 1).alias("iw"), (F.col("p") - from_).alias("q")))
     short = bench.filter(F.col("n") < SPAN)
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most SPAN - 1 numbers
-    n_marks = marks.count()
+    small = lambda rows: (lambda r: (r.n, r.n <= broadcast_rows and (r.size or 0) <= BROADCAST_BYTES))(rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("iw", " "))).alias("size")).first())
+    n_marks, fits = small(marks)
     found = []
     doc_marks = fingerprints(rows, ["doc_id"]).withColumn("o", F.lit(0))
-    if n_marks > broadcast_rows:
-        # only a gram's neighbourhood is shuffled; o: the place in the document of its first word
-        from_ = F.greatest(F.col("p") - (SPAN - K), F.lit(0))
+    if not fits:
+        # o: the place in the document of the first word that is shuffled
         doc_marks = doc_marks.select("doc_id", "f", F.slice("w", from_ + 1, 2 * SPAN - K + 1).alias("w"), (F.col("p") - from_).alias("p"), from_.alias("o"))
         salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = doc_marks.withColumn("salt", F.pmod(F.xxhash64("doc_id", "o"), F.lit(SALTS)).cast("int")).join(salted, ["f", "salt"])
@@ -111,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     for size in sorted({min(n, K) for n in lengths}):
         first = short.filter(F.least("n", F.lit(K)) == size).select(_gram(F.lit(0), size).alias("f"), "item_id", F.col("w").alias("iw"))
         at = rows.filter(F.size("w") >= size).select("doc_id", "w", F.explode(_positions(F.size("w") - (size - 1))).alias("p")).withColumn("f", _gram(F.col("p"), size))
-        if first.count() <= broadcast_rows:
+        if small(first)[1]:
             both = at.join(F.broadcast(first), "f")
         else:
             near = at.select("doc_id", "f", F.slice("w", F.col("p") + 1, SPAN).alias("w"), F.lit(0).alias("p"), F.col("p").alias("o"))
@@ -151,5 +154,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     counts = narrow.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     found = summary(hits(narrow, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    tainted = found.join(counts.groupBy("doc_id").agg(F.max("n_words").alias("n_words")), "doc_id").filter("20 * n_hit >= n_words").select(F.col("doc_id").alias("_id"))
+    longest = counts.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_words").alias("n_words"))
+    tainted = found.join(longest, found["doc_id"].eqNullSafe(F.col("_id"))).filter("20 * n_hit >= n_words").select("_id")
     return docs.join(tainted, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
