@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import documents, numbered
+from gleanline.llm.common import cut, documents, numbered
 
 #: md5 digits that make a pair's number: 52 bits, exact as a double.
 DIGITS = 13
@@ -40,6 +40,12 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return F.greatest(*scored)["shard"]
 
 
+def grown(key: Column, n: int) -> tuple[Column, Column]:
+    """The shards of a key among n equal shards and among one more, which need one draw more."""
+    best = F.greatest(*(F.struct(_draw(key, s).alias("score"), F.lit(s).alias("shard")) for s in range(n))) if n > 1 else F.struct(_draw(key, 0).alias("score"), F.lit(0).alias("shard"))
+    return best["shard"], F.greatest(best, F.struct(_draw(key, n).alias("score"), F.lit(n).alias("shard")))["shard"]
+
+
 def assign(df: DataFrame, key: str, weights: list[float], name: str = "shard") -> DataFrame:
     """df with the column `name`: the shard of each row."""
     return df.withColumn(name, rendezvous(F.col(key), weights))
@@ -48,6 +54,8 @@ def assign(df: DataFrame, key: str, weights: list[float], name: str = "shard") -
 def query(spark: SparkSession, sf_dir: str, n_shards: int = 24) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    placed = assign(assign(rows, "doc_id", [1.0] * n_shards), "doc_id", [1.0] * (n_shards + 1), "grown_shard")
+    shard, later = grown(F.col("doc_id"), n_shards)
+    # the narrow rows are kept: numbering reads them three times
+    placed = cut(rows.withColumns({"shard": shard, "grown_shard": later}))
     out = numbered(placed, ["shard"], [F.col("doc_id"), F.col("size"), F.col("text_crc32")], ROWS_PER_BLOCK, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
