@@ -2,18 +2,20 @@
 
 A page is cut into blocks: the runs of text between block-level tags, each with the path of tags
 above it. A block's input is a vector of its path (hashed tags, ids and classes, near ones weighing
-more), one of its words (hashed), and some measures (length, links, punctuation, place). The LSTM
+more), one of all its words (hashed), and some measures (length, links, punctuation, digits, place). The LSTM
 reads the blocks forwards and backwards, so a block's label depends on the whole document. The blocks
 labelled as content, joined by blank lines, are the text.
 
 No page has labels. The model is trained on pages composed from the input's own blocks: content and
 boilerplate are placed into many different page layouts, whose labels are known by construction, so
-that it learns layouts and context rather than one site's template. It reads at most MAX_SAMPLE pages.
+that it learns layouts and context rather than one site's template. It reads at most MAX_SAMPLE pages,
+in whole: more of them only add more block texts to draw from.
 
 Edge cases: a null or empty html, or one without content, gives an empty text; unclosed and stray
 tags, comments, very long pages and unknown tags are read on to the end, nothing is capped; scripts and
-the like end at their own end tag, and quotes count only after an equals sign; repeated
-rows get equal texts; an empty table gives an empty result; further columns are left out.
+the like end at their own end tag, and quotes count only after an equals sign; an element without text
+that is never closed is passed over (but for scripts and styles, which run to the end), and a head
+ends where the first tag comes that a head can't hold; repeated rows get equal texts; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\x22[^\x22]*\x22|'[^']*'|[^\s>\x22'][^\s>]*+)?+)*+)>", re.S)
 #: Tags whose contents are no markup: they end at their own end tag, whatever stands before it.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title")}
+#: What a head can hold; other tags end it.
+_IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template head".split())
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -61,6 +66,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
     text: list[str] = []
     linked = links = in_link = 0
     at, silent_from = 0, ""
+    lower, unclosed = page.lower(), set()
+    if len(lower) != len(page):  # a few capitals change their length: places would not agree
+        lower = page
+
+    def closes(name: str, begin: int) -> bool:
+        if name not in unclosed and lower.find(f"</{name}", begin) < 0:
+            unclosed.add(name)
+        return name not in unclosed
 
     def flush() -> None:
         nonlocal linked, links
@@ -97,7 +110,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         if silent_from:
             if closing and name == silent_from:
                 silent_from = ""
-            elif silent_from == "head" and name == "body":
+            elif silent_from == "head" and not closing and name not in _IN_HEAD:
                 silent_from = ""
             if silent_from or closing:
                 continue
@@ -111,7 +124,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         if name in SILENT:
             if name in ("head", "svg", "object", "video", "audio", "iframe", "canvas"):
                 flush() if name == "head" else None
-            if not m.group(3).rstrip().endswith("/"):
+            if not m.group(3).rstrip().endswith("/") and (name in ("head", "script", "style") or closes(name, begin)):
                 silent_from = name
             continue
         if name in BLOCK:
@@ -176,14 +189,15 @@ def vectors(found: list[tuple[tuple[str, ...], str, int, int]]) -> np.ndarray:
             known[path] = _path_vector(path)
         out[k, :PATH] = known[path]
         words = text.split()
-        head = words[:12]
-        for w in head:
-            j, sign = _hash(w.lower(), WORDS)
-            out[k, PATH + j] += sign / (len(head) + 2)
+        own = np.zeros(WORDS, np.float32)
+        for w, times in Counter(text.lower().split()).items():
+            j, sign = _hash(w, WORDS)
+            own[j] += sign * times
+        out[k, PATH : PATH + WORDS] = own / np.sqrt(12 * len(words) + 4)  # long blocks weigh more, but not without bound
         n = len(text)
         out[k, PATH + WORDS :] = (
             np.log1p(len(words)) / 4, min(1.0, linked / n), min(links, 5) / 5, (text.count(".") + text.count(",")) / (len(words) + 1), text[-1] in ".!?:;\"'",
-            sum(c.isdigit() for c in text[:100]) / min(n, 100), "©" in text or "|" in text, k / len(found), (len(found) - k) / len(found), min(1.0, n / len(words) / 10),
+            sum(map(text.count, "0123456789")) / n, "©" in text or "|" in text, k / len(found), (len(found) - k) / len(found), min(1.0, n / len(words) / 10),
         )
     return out
 
@@ -226,8 +240,8 @@ class Labeller:
         return out
 
     def logits(self, x: np.ndarray, live: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        f = self._run(x, live, "f", keep and keep["f"] if keep is None else keep["f"])
-        b = self._run(x, live, "b", keep and keep["b"] if keep is None else keep["b"])
+        f = self._run(x, live, "f", None if keep is None else keep["f"])
+        b = self._run(x, live, "b", None if keep is None else keep["b"])
         if keep is not None:
             keep["h"] = (f, b)
         return f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + x @ self.p["direct"] + self.p["bias"]
@@ -336,7 +350,9 @@ def composed(texts: list[str], n: int = N_COMPOSED, seed: int = 7) -> list[tuple
 
 def train(pages: DataFrame, max_sample: int = MAX_SAMPLE) -> Labeller:
     """The labeller, fitted in one task on layouts around the blocks of at most max_sample pages (those with the least hash)."""
-    sample = pages.filter("length(html) > 0").select(F.xxhash64("page_id", "url").alias("k"), F.substring("html", 1, 20_000).alias("html")).orderBy("k", "html").limit(max_sample)
+    keyed = pages.filter("length(html) > 0").select(F.xxhash64("page_id", "url").alias("k"), "html")
+    chosen = keyed.select("k").distinct().orderBy("k").limit(max_sample)
+    sample = keyed.join(F.broadcast(chosen), "k", "left_semi").select("html").distinct()  # numbers of at most max_sample rows
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts = sorted({x for page in table.column("html").to_pylist() for _, x, _, _ in blocks(page) if len(x.split()) >= 4})
