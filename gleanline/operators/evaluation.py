@@ -6,11 +6,11 @@ severity, note, optional, spots: array of (file, start, end), the defect's own p
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
+from gleanline.operators.greedy import decided, similarity, title_words
 from gleanline.operators.intervals import overlap_join
 
 #: Lines of tolerance; title similarities from which a finding is about a defect and repeats another finding.
@@ -32,39 +32,34 @@ def fits(findings: DataFrame, defects: DataFrame, slack: int = TOLERANCE) -> Dat
     return best.select("case", "id", "defect", "title", "start", "end", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "on_topic", F.col("fit.gap").alias("gap"), (-F.col("fit.less")).alias("iou"))
 
 
-def _words(title: str) -> set[str]:
-    import re
-
-    return {w for w in re.split("[^a-z0-9_]+", (title or "").lower()) if len(w) > 2}
-
-
 def match(findings: DataFrame, defects: DataFrame, slack: int = TOLERANCE) -> DataFrame:
     """(case, id, defect, role): matched one to one, best fit first; what is left is a duplicate of a match, nearby or unmatched.
 
     The choices within a case depend on each other, so a case is decided by itself; it holds the pairs of one review.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["on_topic", "gap", "iou", "confidence", "id", "defect"], ascending=[False, True, False, False, True, True], kind="stable")
+    def decide(rows: list) -> list[tuple]:
         of_finding: dict = {}
         of_defect: dict = {}
-        for r in rows.itertuples(index=False):
+        best: dict = {}
+        for r in rows:
+            best.setdefault(r.id, r)
             if r.id not in of_finding and r.defect not in of_defect:
                 of_finding[r.id], of_defect[r.defect] = r, r
         out = []
-        for r in rows.drop_duplicates("id").itertuples(index=False):
+        for r in best.values():
             if r.id in of_finding:
                 out.append((r.case, r.id, of_finding[r.id].defect, "matched"))
                 continue
             kept = of_defect[r.defect]
-            a, b = _words(r.title), _words(kept.title)
-            same = (r.start, r.end) == (kept.start, kept.end) or (bool(a) and bool(b) and len(a & b) / len(a | b) >= REPEAT)
+            same = (r.start, r.end) == (kept.start, kept.end) or similarity(title_words(r.title), title_words(kept.title)) >= REPEAT
             out.append((r.case, r.id, r.defect, "duplicate" if same else "nearby"))
-        return pd.DataFrame(out, columns=["case", "id", "defect", "role"])
+        return out
 
     pairs = fits(findings, defects, slack)
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    near = pairs.groupBy("case").applyInPandas(run, f"case {kinds['case']}, id {kinds['id']}, defect {kinds['defect']}, role string")
+    order = [F.desc("on_topic"), "gap", F.desc("iou"), F.desc("confidence"), "id", "defect"]
+    near = decided(pairs, ["case"], order, f"case {kinds['case']}, id {kinds['id']}, defect {kinds['defect']}, role string", decide)
     away = findings.select("case", "id").join(near.select("case", "id"), ["case", "id"], "left_anti")
     return near.unionByName(away.select("case", "id", F.lit(None).cast(kinds["defect"]).alias("defect"), F.lit("unmatched").alias("role")))
 

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
-    """The shared checkpoint folder as the session names it; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; a local session may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file:///tmp/checkpoints"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to the shared checkpoint folder and read from there."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

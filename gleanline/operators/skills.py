@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions.paths import matches_any
+from gleanline.operators.greedy import decided
 
 # What a match of each kind adds to a skill's priority.
 CONTENT, FILES, STACK, LANGUAGE, DEPTH, ALWAYS = 40, 30, 20, 10, 3, 1000
@@ -86,27 +87,25 @@ def select(matches: DataFrame, skills: list[Skill], budget: int) -> DataFrame:
 
     A chunk has at most as many rows as there are skills; each choice depends on the earlier ones.
     """
-    import pandas as pd
+    tokens, parents = {s.id: s.tokens for s in skills}, {s.id: s.extends for s in skills}
 
-    tokens, parents, priority = {s.id: s.tokens for s in skills}, {s.id: s.extends for s in skills}, {s.id: k for k, s in enumerate(skills)}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def decide(rows: list) -> list[tuple]:
         used, picked = 0, {}
-        for r in rows.sort_values(["score", "skill"], ascending=[False, True]).itertuples(index=False):
+        for r in rows:
             if used + tokens[r.skill] <= budget:
                 picked[r.skill] = "match"
                 used += tokens[r.skill]
         queue = list(picked)
         for child in queue:
             for parent in parents[child]:
-                if parent in priority and parent not in picked and used + tokens[parent] <= budget:
+                if parent in tokens and parent not in picked and used + tokens[parent] <= budget:
                     picked[parent] = f"extends:{child}"
                     used += tokens[parent]
                     queue.append(parent)
-        return pd.DataFrame({"chunk": rows.chunk.iloc[0], "skill": list(picked), "via": list(picked.values())})
+        return [(rows[0].chunk, skill, via) for skill, via in picked.items()]
 
     kind = matches.schema["chunk"].dataType.simpleString()
-    return matches.groupBy("chunk").applyInPandas(run, f"chunk {kind}, skill string, via string")
+    return decided(matches, ["chunk"], [F.desc("score"), "skill"], f"chunk {kind}, skill string, via string", decide)
 
 
 def skills_for_hits(hits: DataFrame, table: dict[str, str]) -> DataFrame:

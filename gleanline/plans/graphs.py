@@ -55,7 +55,7 @@ WHEN 4 THEN concat('py/other/test_m', p_size, '.py') WHEN 5 THEN concat('go/', p
 
 @query("test_pairs", f"""WITH s AS (SELECT DISTINCT p_type AS run, p_partkey % 8 AS k, p_brand AS b, p_size AS m, {_TEST} AS file FROM part), x AS (SELECT t.run, t.file AS test, s.file AS source, t.k,
   CASE WHEN t.k IN (1, 2, 7) THEN CASE WHEN t.b = s.b THEN CASE WHEN t.k = 2 THEN 2 ELSE 3 END ELSE 0 END WHEN t.k = 6 THEN CASE WHEN s.b = t.run THEN 3 ELSE 0 END ELSE 0 END AS score
-  FROM s t JOIN s ON s.run = t.run AND s.m = t.m AND ((t.k IN (1, 2, 7) AND s.k = 0) OR (t.k = 4 AND s.k = 3) OR (t.k = 6 AND s.k = 5))), y AS (SELECT *, max(score) OVER w AS best, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY run, test))
+  FROM (SELECT DISTINCT run, k, CASE WHEN k IN (4, 6) THEN '' ELSE b END AS b, m, file FROM s) t JOIN s ON s.run = t.run AND s.m = t.m AND ((t.k IN (1, 2, 7) AND s.k = 0) OR (t.k = 4 AND s.k = 3) OR (t.k = 6 AND s.k = 5))), y AS (SELECT *, max(score) OVER w AS best, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY run, test))
 SELECT run, test, source FROM y WHERE CASE WHEN best >= CASE WHEN k = 6 THEN 3 ELSE 2 END THEN score = best ELSE n = 1 AND k <> 6 END""")
 def test_pairs(spark, sf_dir):
     """Tests and what they test, in four languages, by names and directories."""

@@ -151,7 +151,11 @@ def finding_dedupe(spark, sf_dir):
     return greedy.dedupe(found, ["doc_id"])
 
 
-@query("finding_match")
+@query("finding_match", f"""WITH RECURSIVE {SCAN}, q AS (SELECT a.doc_id, b.line::INT AS finding, a.line::INT AS defect, abs(a.line - b.line)::INT AS gap, CASE WHEN a.line = b.line THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS iou,
+  row_number() OVER (PARTITION BY a.doc_id ORDER BY abs(a.line - b.line), b.line, a.line) AS k FROM final a JOIN final b ON a.doc_id = b.doc_id AND a.severity IN ('critical', 'major') AND b.severity IN ('minor', 'info') AND abs(a.line - b.line) <= 3),
+g AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::INT[] AS fs, []::INT[] AS ds, false AS taken FROM q UNION ALL
+  SELECT q.doc_id, q.k, CASE WHEN list_contains(fs, finding) OR list_contains(ds, defect) THEN fs ELSE list_append(fs, finding) END, CASE WHEN list_contains(fs, finding) OR list_contains(ds, defect) THEN ds ELSE list_append(ds, defect) END, NOT (list_contains(fs, finding) OR list_contains(ds, defect)) FROM g JOIN q ON q.doc_id = g.doc_id AND q.k = g.k + 1)
+SELECT doc_id, finding, defect, 1.0::DOUBLE AS similarity, gap, iou, 0.5::DOUBLE AS confidence FROM g JOIN q USING (doc_id, k) WHERE taken""")
 def finding_match(spark, sf_dir):
     """Weak hits as findings, strong ones of the same document as expected defects."""
     pairs = near_hits(spark, sf_dir)
