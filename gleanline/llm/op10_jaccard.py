@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from gleanline.llm import textbatch
 from gleanline.llm.common import cut, documents
+from gleanline.operators import graph
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -246,24 +247,8 @@ def hub_links(lists: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) for all vertices of edges (a, b): the least vertex of each component.
-
-    A vertex takes the least label of its neighbours, sends what it has found to its old label as well,
-    so that whole trees are hooked at once, and follows its label one step (a label's own label); each
-    round is cut. It ends when nothing changes: 10 rounds for shuffled chains of 2000 vertices, 18 for a million.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
-    while True:  # labels only sink, so the rounds come to an end
-        heard = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "v", "left").select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        sent = spread.select(F.explode(F.array(F.struct("v", "old", "label"), F.struct(F.col("old").alias("v"), F.lit(None).cast("long").alias("old"), "label"))).alias("s")).select("s.*")
-        hooked = sent.groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label"))
-        jump = hooked.select(F.col("v").alias("_v"), F.col("label").alias("_next"))
-        new = cut(hooked.join(jump, F.col("label") == F.col("_v"), "left").select("v", "old", F.least("label", "_next").alias("label")))
-        labels = new.select("v", "label")
-        if new.filter("old != label").isEmpty():
-            return labels
+    """(v, label) for the vertices of edges (a, b): the least vertex of each component."""
+    return graph.components(edges.filter("a <> b")).withColumnRenamed("component", "label")
 
 
 def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

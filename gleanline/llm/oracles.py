@@ -38,7 +38,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS.format(_LOWERED)} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM d WHERE len(ws) >= {op10_jaccard.WORDS}),
 g AS (SELECT DISTINCT doc_id, gram FROM ({_grams('u', op10_jaccard.WORDS)}) UNION ALL SELECT doc_id, array_to_string(ws, chr(1)) FROM d WHERE len(ws) BETWEEN 1 AND {op10_jaccard.WORDS - 1}),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= {op10_jaccard.PERCENT} * (x.n + y.n - both)), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {op10_jaccard.PERCENT} * (x.n + y.n - common)), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c(v, w) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.w FROM c JOIN e ON e.a = c.v WHERE c.w < e.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(w) AS component_id FROM c GROUP BY v) m USING (doc_id)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanline.llm import op1_decontamination, op10_jaccard, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op7_extraction, op8_warc, op9_toxicity
+from gleanline.llm import op1_decontamination, op10_jaccard, op2_lines, op3_sharding, op4_quality, op5_packing, op6_pii, op7_extraction, op8_warc, op9_toxicity, oracles
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_jaccard": op10_jaccard.query,
+    "quality_ablation": op4_quality.ablation_query,
 }
 ORACLES = {
     "op8_warc": op8_warc.ORACLE,
     "op2_lines": op2_lines.ORACLE,
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op4_quality": oracles.QUALITY,
+    "op10_jaccard": oracles.JACCARD,
 }
