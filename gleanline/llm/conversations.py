@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,15 +14,16 @@ from gleanline.llm.common import scratch
 BLOCK = 1024
 
 
-def ordered(rows: DataFrame, order: list[Column]) -> DataFrame:
+def ordered(rows: DataFrame, order: list[Column], then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """rows (with conv_id) written in the order of conv_id and `order`, with _id: unique, rising along it, its upper bits the part.
 
     A range shuffle deals the rows, so one conversation may lie in many parts; a counter splits equal rows too.
+    `then`, which keeps rows and order, works behind the shuffle: what stands before it runs a second time, for the ranges' sample.
     """
     counted = rows.withColumn("_tie", F.monotonically_increasing_id())
     by = [F.col("conv_id"), *order, F.col("_tie")]
     path = scratch(rows.sparkSession, "turns")
-    counted.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    then(counted.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

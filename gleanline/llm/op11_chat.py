@@ -61,12 +61,16 @@ def read_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
-def formatted(rows: DataFrame, vocab: str) -> DataFrame:
-    """(conv_id, turn, tie, system, target, head, body, tokens): each turn in the template, head and body apart, with its number of tokens."""
+def formatted(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, tie, system, target, head, body): each turn in the template, head and body apart."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    plain = rows.select("conv_id", "turn", F.md5(F.concat_ws(":", F.octet_length(role).cast("string"), role, text).cast("binary")).alias("tie"), (role == SYSTEM).alias("system"), (role == TARGET).alias("target"), role.alias("_r"), text.alias("_t"))
-    named = F.regexp_replace(F.regexp_replace("_r", r"\\", r"\\\\"), "\n", r"\\n")
-    turns = plain.select("conv_id", "turn", "tie", "system", "target", F.concat(F.lit(START), escaped(named), F.lit("\n")).alias("head"), escaped(F.col("_t")).alias("body"))
+    tie = F.md5(F.concat_ws(":", F.octet_length(role).cast("string"), role, text).cast("binary"))
+    named = F.regexp_replace(F.regexp_replace(role, r"\\", r"\\\\"), "\n", r"\\n")
+    return rows.select("conv_id", "turn", tie.alias("tie"), (role == SYSTEM).alias("system"), (role == TARGET).alias("target"), F.concat(F.lit(START), escaped(named), F.lit("\n")).alias("head"), escaped(text).alias("body"))
+
+
+def counted(turns: DataFrame, vocab: str) -> DataFrame:
+    """turns of formatted() with the number of their tokens, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -138,7 +142,7 @@ def format_windows(rows: DataFrame, vocab: str, budget: int = BUDGET, history: i
     window: the number of its first new turn; repeated: turns at its beginning that other windows hold;
     loss: (start, end) code points of the text that are learnt, end exclusive.
     """
-    turns = ordered(formatted(rows, vocab), [F.col("turn").asc_nulls_first(), F.col("tie")])
+    turns = ordered(formatted(rows), [F.col("turn").asc_nulls_first(), F.col("tie")], lambda sorted_rows: counted(sorted_rows, vocab))
     members = windows(placed(turns.select("conv_id", "_id", "tokens", "system")), budget, history, most, block)
     piece = F.struct("slot", (F.col("target") & (F.col("slot") >= F.col("repeated"))).alias("learnt"), F.length("head").alias("head"), F.length("body").alias("body"), "tokens", F.concat("head", "body", F.lit(STOP)).alias("text"))
     met = members.join(turns.select("_id", "target", "head", "body", "tokens"), "_id").groupBy("conv_id", "window", "repeated").agg(F.array_sort(F.collect_list(piece)).alias("p"))
