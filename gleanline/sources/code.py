@@ -85,7 +85,12 @@ def resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 def dependencies(manifests: DataFrame) -> DataFrame:
     """(file, name, spec, scope) of the dependencies that manifests declare, by the file's name. manifests: file, content."""
-    text, base = F.col("content"), F.regexp_extract("file", "([^/]*)$", 1)
+    return manifests.select("file", F.explode(declared(F.col("file"), F.col("content"))).alias("d")).select("file", "d.*")
+
+
+def declared(file: Column, text: Column) -> Column:
+    """The dependencies (name, spec, scope) that a manifest declares, by the file's name; null for other files."""
+    base = F.regexp_extract(file, "([^/]*)$", 1)
     pair = lambda name, spec, scope: F.struct(name.alias("name"), spec.alias("spec"), F.lit(scope).alias("scope"))
     maps = "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>, require map<string,string>, `require-dev` map<string,string>"
     parsed = F.from_json(text, maps)
@@ -109,8 +114,7 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     pom = by_line(r"<dependency>(?:(?!</dependency>)[\s\S])*?<artifactId>([^<]+)</artifactId>(?:(?!</dependency>)[\s\S])*?(?:<version>([^<]+)</version>)?\s*(?:<scope>[^<]*</scope>\s*)?</dependency>")
     gradle = by_line(r"(?m)^[ \t]*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|kapt)[ \t(]+['\"]([^:'\"\n]+:[^:'\"\n]+):([^'\"\n]+)['\"]")
     kinds = [(base == "package.json", npm), (base == "composer.json", composer), (base.rlike(r"^requirements[^/]*\.txt$"), pip), (base == "go.mod", go), (base == "Gemfile", gems), (base == "Cargo.toml", cargo), (base == "pubspec.yaml", pub), (base == "mix.exs", mix), (base.rlike(r"\.csproj$"), csproj), (base == "pom.xml", pom), (base.rlike(r"^build\.gradle(?:\.kts)?$"), gradle)]
-    found = F.coalesce(*(F.when(test, x) for test, x in kinds))
-    return manifests.select("file", F.explode(found).alias("d")).select("file", "d.*")
+    return F.coalesce(*(F.when(test, x) for test, x in kinds))
 
 
 def extract_json(text: Column) -> Column:
