@@ -21,6 +21,25 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/*$", 1)
 
 
+def directory(path: Column) -> Column:
+    """The directory of a file, '.' at the root."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
+
+
+def ancestors(of: Column) -> Column:
+    """A directory's ancestors and itself, the root left out."""
+    parts = F.split(of, "/", -1)
+    return F.when(of != ".", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def inside(base: Column, relative: Column) -> Column:
+    """relative, seen from a directory, as a path of the repository; null where it leads out of it."""
+    parts = F.filter(F.split(F.concat_ws("/", base, relative), "/", -1), lambda p: ~p.isin("", "."))
+    none = F.array().cast("array<string>")
+    walk = F.aggregate(parts, none, lambda out, p: F.when(out.isNull() | ((p == "..") & (F.size(out) == 0)), None).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))))
+    return F.when(relative.isNotNull(), F.when(F.size(walk) > 0, F.array_join(walk, "/")).when(walk.isNotNull(), "."))
+
+
 def language(path: Column) -> Column:
     """The language of a file: by its whole name, by 'Dockerfile...', by its extension; else text."""
     base = base_name(path)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.functions.paths import language
+from gleanline.functions.paths import ancestors, directory, language
 from gleanline.functions.text import half_up
 from gleanline.operators import stack
 from gleanline.sources.code import declared
@@ -124,28 +124,18 @@ def _any(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
-def _dir(file: Column) -> Column:
-    return F.when(F.contains(file, F.lit("/")), F.regexp_replace(file, "/[^/]*$", "")).otherwise(ROOT)
-
-
-def ancestors(directory: Column) -> Column:
-    """A directory's ancestors and itself, the root left out."""
-    parts = F.split(directory, "/", -1)
-    return F.when(directory != ROOT, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
-
-
-def sample(directory: Column) -> Column:
-    return F.arrays_overlap(F.split(F.lower(directory), "/", -1), F.array(*map(F.lit, SAMPLES)))
+def sample(of: Column) -> Column:
+    return F.arrays_overlap(F.split(F.lower(of), "/", -1), F.array(*map(F.lit, SAMPLES)))
 
 
 def packages(files: DataFrame) -> DataFrame:
     """(repo, dir, package): each directory of files (repo, file) or above one, with the nearest directory at or above it that holds a manifest; '.' is the root."""
-    base, directory = F.regexp_extract("file", "([^/]*)$", 1), _dir(F.col("file"))
-    inside = directory.rlike("(?:^|/)requirements$")
+    base, home = F.regexp_extract("file", "([^/]*)$", 1), directory(F.col("file"))
+    inside = home.rlike("(?:^|/)requirements$")
     listed = base.rlike(FILE_PATTERNS[1][1]) | (inside & base.rlike(r"\.(?:txt|in)$"))
-    home = F.when(listed & inside, _dir(directory)).when(listed | base.isin(*MANIFESTS) | base.rlike(r"\.(?:cs|fs|vb)proj$"), directory)
-    roots = files.select("repo", home.alias("_up")).filter("_up IS NOT NULL").distinct()
-    held = files.select("repo", directory.alias("_d")).distinct()
+    root = F.when(listed & inside, directory(home)).when(listed | base.isin(*MANIFESTS) | base.rlike(r"\.(?:cs|fs|vb)proj$"), home)
+    roots = files.select("repo", root.alias("_up")).filter("_up IS NOT NULL").distinct()
+    held = files.select("repo", home.alias("_d")).distinct()
     dirs = held.select("repo", F.explode(F.concat(F.array(F.lit(ROOT)), ancestors(F.col("_d")))).alias("dir")).distinct()
     ups = dirs.select("repo", "dir", F.explode(ancestors(F.col("dir"))).alias("_up")).join(roots, ["repo", "_up"])
     nearest = ups.groupBy("repo", "dir").agg(F.max_by("_up", F.length("_up")).alias("_up"))
@@ -170,7 +160,7 @@ def image_name(ref: Column) -> Column:
 
 def tokens(files: DataFrame) -> DataFrame:
     """(repo, dir, file, kind, token, factor, dev): what each file (repo, file, content) says, token by token; a null content is only looked at by name."""
-    rows = files.select("repo", "file", _dir(F.col("file")).alias("dir"), F.regexp_extract("file", "([^/]*)$", 1).alias("base"), "content")
+    rows = files.select("repo", "file", directory(F.col("file")).alias("dir"), F.regexp_extract("file", "([^/]*)$", 1).alias("base"), "content")
     rows = rows.withColumn("of", F.coalesce(*(F.when(F.col("file").rlike(p), F.lit(k)) for k, p in KINDS)))
     text, of = F.col("content"), F.col("of")
     token = lambda kind, value, factor=1.0, dev=None: F.struct(F.lit(kind).alias("kind"), value.alias("token"), (F.lit(factor) if isinstance(factor, float) else factor).alias("factor"), (F.lit(False) if dev is None else dev).alias("dev"))
@@ -199,7 +189,7 @@ def tokens(files: DataFrame) -> DataFrame:
 def language_evidence(files: DataFrame, of_dir: DataFrame) -> DataFrame:
     """(repo, package, tech, signal, weight) from the counts of code files: 10 files weigh 0.9, 3 (or 2 that are half of all) 0.75, fewer 0.45; samples count apart."""
     base = F.regexp_extract("file", "([^/]*)$", 1)
-    rows = files.select("repo", _dir(F.col("file")).alias("dir"), language(F.col("file")).alias("lang"), base.rlike(TOOLING).alias("tool")).filter(F.col("lang").isin(*LANGUAGES) & ~F.col("tool"))
+    rows = files.select("repo", directory(F.col("file")).alias("dir"), language(F.col("file")).alias("lang"), base.rlike(TOOLING).alias("tool")).filter(F.col("lang").isin(*LANGUAGES) & ~F.col("tool"))
     by_dir = rows.groupBy("repo", "dir", "lang").agg(F.count(F.lit(1)).alias("n")).join(of_dir, ["repo", "dir"])
     counts = by_dir.groupBy("repo", "package", "lang").agg(F.sum(F.when(~sample(F.col("dir")), F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(sample(F.col("dir")), F.col("n")).otherwise(0)).alias("samples"))
     from pyspark.sql.window import Window
