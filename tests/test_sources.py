@@ -133,3 +133,25 @@ def test_streams_give_what_batches_give(spark, tmp_path):
         run.processAllAvailable()
         run.stop()
         assert sorted(map(tuple, spark.table(f"s_{name}").collect())) == sorted(map(tuple, form(rows).collect())), name
+
+
+REPLIES = [
+    (None, None), ("", None), ("no brackets", None), ("{not json} [1, 2,] tail", "[1,2]"), ('He said "x {"a": 1} and left', '{"a":1}'), ("```json\n{\"a\": 1,}\n```\n```\n[2]\n```\n```py\n[3]\n```", "[2]"), ("```json\nbroken {\n``` then {\"b\": {\"c\": [1]}} and [1, 2, 3, 4]", '{"b":{"c":[1]}}'),
+    ('{"s": "a ] } \\" ,} b", "é": [1 , ]}', '{"s":"a ] } \\" ,} b","é":[1]}'), ("[" * 5000 + "1]", "[1]"), ("``` {\"open\": true}", '{"open":true}'), ("```\n7\n```", "7"), ("{" + "x" * 300_000 + "} [1]", "[1]"),
+]
+
+
+def test_json_in_replies():
+    import pandas as pd
+
+    from gleanline.sources.code import found_json
+
+    assert list(found_json(pd.Series([t for t, _ in REPLIES], dtype=object))) == [j for _, j in REPLIES]
+
+
+def test_script_statements_behind_others(spark):
+    from gleanline.sources.code import imports
+
+    text = "import a from 'm1';import 'm2'; import {\n  b,\n  c as d,\n} from \"m3\"\nexport * from 'm4'\nexport const e = 'no'\nconst f = require ( 'm5' ); jest.mock('m6', () => 1)\nif (x) { import('m7') }\nimport type { T } from 'm8'; // import z from 'm9'\nconst important = 'no'\nimport g, * as h from'm10'"
+    (row,) = imports(spark.createDataFrame([("typescript", text)], "language string, content string")).collect()
+    assert sorted(row.imports, key=lambda m: int(m[1:])) == ["m1", "m2", "m3", "m4", "m5", "m6", "m7", "m8", "m10"]
