@@ -61,12 +61,12 @@ _SCOPES = frozenset("ul ol dl table tr select body html article section div nav
 class Node:
     """A place in the tree of tags: equal entries below one place share a node, so a path is one object whatever its depth."""
 
-    __slots__ = ("parent", "name", "entry", "below", "own", "total")
+    __slots__ = ("parent", "name", "entry", "below", "total", "vector")
 
     def __init__(self, parent: Node | None, name: str, entry: str) -> None:
         self.parent, self.name, self.entry = parent, name, entry
         self.below: dict[str, Node] = {}
-        self.own = self.total = None
+        self.total = self.vector = None
 
     def child(self, name: str, entry: str) -> Node:
         found = self.below.get(entry)
@@ -201,6 +201,8 @@ def blocks(page: str) -> list[tuple[Node, str, int, int]]:
     return out
 
 
+#: What the nearest entries of a path weigh beyond the rest.
+_NEAR = [np.float32(w) for w in (0.75, 0.6, 0.45, 0.3, 0.15)]
 _hashed: dict[tuple[str, int], tuple[int, float]] = {}
 
 
@@ -214,30 +216,39 @@ def _hash(word: str, size: int) -> tuple[int, float]:
     return found
 
 
-def _own(node: Node) -> np.ndarray:
-    if node.own is None:
-        node.own = np.zeros(PATH, np.float32)
-        for word in node.entry.split():
+_entries: dict[str, np.ndarray] = {}
+
+
+def _own(entry: str) -> np.ndarray:
+    """The vector of an entry's words."""
+    found = _entries.get(entry)
+    if found is None:
+        if len(_entries) > 20_000:
+            _entries.clear()
+        found = _entries[entry] = np.zeros(PATH, np.float32)
+        for word in entry.split():
             k, sign = _hash(word, PATH)
-            node.own[k] += sign
-    return node.own
+            found[k] += sign
+    return found
 
 
 def _path_vector(node: Node) -> np.ndarray:
     """A path's entries, the nearest weighing 1, each further one 0.15 less, 0.25 at least. Each node's unweighted sum is kept, so a page costs a step a tag."""
-    lacking, up = [], node
-    while up is not None and up.total is None:
-        lacking.append(up)
-        up = up.parent
-    for n in reversed(lacking):
-        n.total = _own(n) if n.parent is None else n.parent.total + _own(n)
-    v = np.float32(0.25) * node.total
-    for weight in (0.75, 0.6, 0.45, 0.3, 0.15):
-        v = v + np.float32(weight) * _own(node)
-        node = node.parent
-        if node is None:
-            break
-    return v
+    if node.vector is None:
+        lacking, up = [], node
+        while up is not None and up.total is None:
+            lacking.append(up)
+            up = up.parent
+        for n in reversed(lacking):
+            n.total = _own(n.entry) if n.parent is None else n.parent.total + _own(n.entry)
+        v, up = np.float32(0.25) * node.total, node
+        for weight in _NEAR:
+            v += weight * _own(up.entry)
+            up = up.parent
+            if up is None:
+                break
+        node.vector = v
+    return node.vector
 
 
 def vectors(found: list[tuple[Node, str, int, int]]) -> np.ndarray:

@@ -63,7 +63,7 @@ def test_precision_and_recall_on_other_layouts():
 
 def test_vectors_see_whole_blocks():
     long = " ".join(["same"] * 200)
-    a, b = (op.vectors([(("p",), f"{long} {tail}", 0, 0)]) for tail in ("comment reply", "12345 67890"))
+    a, b = (op.vectors([(op.Node(None, "", "").child("p", "p"), f"{long} {tail}", 0, 0)]) for tail in ("comment reply", "12345 67890"))
     assert not np.array_equal(a, b)
 
 
