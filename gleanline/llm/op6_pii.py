@@ -4,11 +4,13 @@ Candidates are all matches of the four base kinds, whose valid ones are exact an
 further kinds that looser patterns propose: secrets assigned to a name, and phone numbers without a
 plus. Three sorts of labelers vote yes, no or nothing on each candidate: regular expressions on its
 form, gazetteers of words before it and of known non-data, and its context (what borders on it).
-Expectation-maximisation estimates from the votes alone how reliable each labeler is. The votes are
-counted by combination first: one aggregation over all candidates gives at most 3 ** N_VOTES rows a
-kind (39366 in all, some hundred in fact), and both fits run over these counts. The posteriors train
-the final span classifier, a logistic regression over votes and kind, and it alone decides on the
-spans of the further kinds.
+Expectation-maximisation estimates from the votes how reliable each labeler is. The fit is anchored:
+a base match is known to be data or not by its check (Luhn, ranges, digits), and a labeler's weight
+stays within HOLD of what it is known for, so that no mix of candidates turns a labeler round. The
+votes are counted by combination first: one aggregation over all candidates gives at most
+3 ** N_VOTES rows a kind (13122 in all, some hundred in fact), and both fits run over these counts.
+The posteriors train the final span classifier, a logistic regression over votes and kind fitted to
+convergence, and it alone decides on the spans of the further kinds.
 
 Spans are in code points, their ends exclusive. Edge cases: a null or empty text has no spans; spans of
 different kinds may overlap, but an added span that touches a base span goes; very long texts are
@@ -43,10 +45,16 @@ ANY = r"[0-9][.]|[0-9]{3}|[=:]|[+][0-9]|[0-9](?:[\x20-]?[0-9]){12}"
 CONTEXT = 40
 #: Gazetteers: words before a span that speak for and against personal data, and spans that are none.
 FOR_WORDS = r"(?i)\b(?:e?-?mail|contact|write|reach|tel|phone|call|fax|mobile|card|visa|account|ip|host|server|address|token|secret|key|password|pwd)\b"
-AGAINST_WORDS = r"(?i)\b(?:version|release|isbn|issn|order|invoice|page|section|figure|fig|no|nr|id|sha1|sha256|md5|commit)\b[^A-Za-z0-9]{0,4}$"
+AGAINST_WORDS = r"(?i)\b(?:version|release|isbn|issn|order|invoice|page|section|figure|fig|no|nr|id|sha1|sha256|md5|commit|path|file|dir)\b[^A-Za-z0-9]{0,4}$"
 NOT_DATA = r"(?i)^(?:127\.|0\.0\.0\.0|255\.255\.|.*(?:example_?key|changeme|placeholder|xxxx))"
-ROUNDS, STEPS = 12, 25
+#: Runs of one character, paths of words, and what stands before a span inside an address.
+RUN, PATH_LIKE, IN_ADDRESS = r"([A-Za-z0-9])\1{6,}", r"^/?(?:[A-Za-z]+[0-9]{0,2}[/_-]){2,}[A-Za-z]+[0-9]{0,2}$", r"(?i)\b(?:https?|ftp|data):\S*$"
+#: Log odds that a vote of yes or of no adds, as each labeler is known, and how far the estimate may leave that; the log odds of a candidate without votes.
+KNOWN = {"form": (1.2, -2.5), "strong": (1.2, -2.5), "words": (1.5, -1.5), "against": (1.5, -3.0), "borders": (1.0, -2.0), "runs": (1.0, -3.0), "places": (1.0, -3.0)}
+HOLD, PRIOR, PRIOR_HOLD = 0.3, -0.6, 0.2
+ROUNDS, STEPS = 12, 40
 KEEP_AT = 0.5
+N_VOTES = len(KNOWN)
 
 
 def digits(s: Column) -> Column:
@@ -99,71 +107,87 @@ def votes(rows: DataFrame) -> DataFrame:
     vote = lambda yes, no=None: F.when(yes, 1).when(F.lit(False) if no is None else no, -1).otherwise(0)
     base = rows.withColumn("ok", F.coalesce(valid(kind, m), F.lit(False)))
     secret, phone2 = kind == "secret", kind == "phone2"
-    labelers = [
-        vote(F.col("ok") | (secret & mixed) | phone2, ~F.col("ok")),
-        vote((kind == "email") & m.rlike(r"\.[A-Za-z]{2,24}$") | (kind == "card") & n.isin(15, 16) | (kind == "phone") & n.between(10, 13) | secret & m.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[A-Za-z0-9_/+-]{20,80})$") | (kind == "ip") & ~m.rlike(r"(?:^|\.)0[0-9]"), secret & (F.length(m) > 200)),
-        vote(before.rlike(FOR_WORDS)),
-        vote(F.lit(False), before.rlike(AGAINST_WORDS) | m.rlike(NOT_DATA)),
-        vote((before == "") | before.rlike(r"[\s\x22\x27(<\[{=:,;|]$"), before.rlike("[A-Za-z0-9_/.-]$")),
-        vote((after == "") | after.rlike(r"^[\s\x22\x27)>\]},;|.!?*#$%&]"), after.rlike("^[A-Za-z0-9_/-]")),
-        vote(F.lit(False), m.rlike(r"([A-Za-z0-9])\1{6,}")),
-        vote(secret & (F.size(F.array_distinct(F.split(m, ""))) >= 9), secret & (~mixed | (F.size(F.array_distinct(F.split(m, ""))) < 9))),
-    ]
-    return base.select("*", *(v.cast("int").alias(f"v{k}") for k, v in enumerate(labelers)))
+    many = F.size(F.array_distinct(F.split(m, ""))) >= 9
+    shaped = m.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") | (m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"))
+    labelers = {
+        "form": vote(F.col("ok") | (secret & mixed & many) | phone2, ~F.col("ok")),
+        "strong": vote((kind == "email") & m.rlike(r"\.[A-Za-z]{2,24}$") | (kind == "card") & n.isin(15, 16) | (kind == "phone") & n.between(10, 13) | secret & shaped & many | (kind == "ip") & ~m.rlike(r"(?:^|\.)0[0-9]"), secret & (F.length(m) > 200)),
+        "words": vote(before.rlike(FOR_WORDS)),
+        "against": vote(F.lit(False), before.rlike(AGAINST_WORDS) | m.rlike(NOT_DATA)),
+        "borders": vote(F.lit(False), before.rlike("[A-Za-z0-9_/.-]$") | after.rlike("^[A-Za-z0-9_/-]")),
+        "runs": vote(F.lit(False), m.rlike(RUN)),
+        "places": vote(F.lit(False), secret & (m.rlike(PATH_LIKE) | before.rlike(IN_ADDRESS))),
+    }
+    return base.select("*", *(labelers[name].cast("int").alias(f"v{k}") for k, name in enumerate(KNOWN)))
 
 
-N_VOTES = 8
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def _features(kinds: np.ndarray, voted: np.ndarray) -> np.ndarray:
+    """A combination's kind, and its votes of yes and of no apart."""
+    return np.column_stack([kinds[:, None] == np.arange(len(KINDS)), voted == 1, voted == -1]).astype(float)
 
 
 def reliabilities(kinds: np.ndarray, voted: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The EM estimate for each combination (kind number, row of votes, count) that it is personal data.
 
-    Each labeler has, for data and for non-data, a probability of each vote; each kind has a prior. A few
-    pseudo-votes keep a labeler that never spoke at its start, at which labelers are right rather than wrong.
+    A base kind's combination is data if its form is (the first vote) and is not otherwise: these are sure.
+    For the rest, a labeler's log odds for a vote are those that the weighted counts give, held within HOLD of
+    what it is known for; a kind's prior is held likewise. Abstaining says nothing.
     """
-    start = np.array([[0.1, 0.3, 0.6], [0.6, 0.3, 0.1]])  # data, non-data by vote -1, 0, 1
-    table, prior = np.repeat(start[:, None, :], N_VOTES, axis=1), np.full(len(KINDS), 0.8)
-    spoke = np.stack([voted == v for v in (-1, 0, 1)], axis=2).astype(float)
-    of_kind = kinds[:, None] == np.arange(len(KINDS))
-    clip = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
+    known = np.array([list(KNOWN[name]) for name in KNOWN])
+    weight, prior = known.copy(), np.full(len(KINDS), PRIOR)
+    sure = kinds < len(BASE)
+    truth = (voted[:, 0] == 1).astype(float)
+    spoke = np.stack([voted == 1, voted == -1], axis=2).astype(float)
+    of_kind = (kinds[:, None] == np.arange(len(KINDS))).astype(float)
 
     def posterior() -> np.ndarray:
-        odds = np.log(clip(prior) / clip(1 - prior))[kinds] + (spoke * np.log(clip(table[0]) / clip(table[1]))).sum(axis=(1, 2))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        odds = prior[kinds] + (spoke * weight).sum(axis=(1, 2))
+        return np.where(sure, truth, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
     for _ in range(rounds):
-        weights = np.stack([n * posterior(), n * (1 - posterior())])
-        counts = np.einsum("sc,clv->slv", weights, spoke)
-        table = (counts + 2 * table) / (weights.sum(axis=1)[:, None, None] + 2)
-        yes, no = weights @ of_kind
-        prior = np.minimum(0.95, (yes + 1.6) / (yes + no + 2))
+        yes = n * posterior()
+        no = n - yes
+        rate = lambda mass: (np.einsum("c,clv->lv", mass, spoke) + 1) / (mass.sum() + 3)
+        weight = np.clip(np.log(rate(yes) / rate(no)), known - HOLD, known + HOLD)
+        prior = np.clip(_logit((yes @ of_kind + 1) / (n @ of_kind + 2)), PRIOR - PRIOR_HOLD, PRIOR + PRIOR_HOLD)
     return posterior()
 
 
 def train(kinds: np.ndarray, voted: np.ndarray, n: np.ndarray, posterior: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights of the span classifier (bias, votes, kinds): gradient steps on the log loss against the posteriors."""
-    features = np.column_stack([np.ones(len(n)), voted, kinds[:, None] == np.arange(len(KINDS))]).astype(float)
-    theta, speed = np.zeros(features.shape[1]), np.zeros(features.shape[1])
+    """Weights of the span classifier (kinds, votes of yes, votes of no): Newton steps on the log loss against the posteriors of the further kinds."""
+    own = kinds >= len(BASE)
+    x, y, mass = _features(kinds[own], voted[own]), posterior[own], n[own]
+    theta = np.zeros(len(KINDS) + 2 * N_VOTES)
+    if not own.any():
+        return theta
+    ridge = 1e-6 * np.eye(len(theta))
     for _ in range(steps):
-        error = n * (1 / (1 + np.exp(-features @ theta)) - posterior)
-        speed = 0.8 * speed + error @ features / n.sum() + 0.001 * theta
-        theta = theta - speed
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (mass * (y - p)) / mass.sum() - ridge @ theta
+        step = np.linalg.solve((x * (mass * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x / mass.sum() + ridge, slope)
+        theta = theta + step * min(1.0, 4.0 / max(float(np.abs(step).max()), 1e-12))
+        if float(np.abs(step).max()) < 1e-9:
+            break
     return theta
 
 
 def classifier(combos: DataFrame) -> Column:
-    """The probability that a voted candidate is personal data, fitted to the combinations (kind, v*, n)."""
+    """The probability that a voted candidate is personal data, fitted to the combinations (kind, v*, n); a base match has its check's 0 or 1."""
     rows = combos.collect()  # at most 3 ** N_VOTES rows a kind
-    theta = np.zeros(1 + N_VOTES + len(KINDS))
+    theta = np.zeros(len(KINDS) + 2 * N_VOTES)
     if rows:
         kinds, n = np.array([ORDER[r.kind] for r in rows]), np.array([r.n for r in rows], float)
         voted = np.array([[r[f"v{k}"] for k in range(N_VOTES)] for r in rows])
         theta = train(kinds, voted, n, reliabilities(kinds, voted, n))
-    score = F.lit(float(theta[0]))
+    score = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(float(theta[j]))) for kind, j in ORDER.items()))
     for k in range(N_VOTES):
-        score = score + F.lit(float(theta[1 + k])) * F.col(f"v{k}")
-    kind = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(float(theta[1 + N_VOTES + j]))) for kind, j in ORDER.items()))
-    return 1 / (1 + F.exp(-(score + kind)))
+        yes, no = float(theta[len(KINDS) + k]), float(theta[len(KINDS) + N_VOTES + k])
+        score = score + F.when(F.col(f"v{k}") == 1, yes).when(F.col(f"v{k}") == -1, no).otherwise(0.0)
+    return F.when(F.col("kind").isin(*BASE), F.col("ok").cast("double")).otherwise(1 / (1 + F.exp(-score)))
 
 
 def detect(docs: DataFrame) -> DataFrame:
