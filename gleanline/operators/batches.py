@@ -107,3 +107,24 @@ def context_files(chunks: DataFrame, imports: DataFrame, room: int) -> DataFrame
 
     order = Window.partitionBy("chunk").orderBy(F.desc(F.col("uses") > 0), F.desc(F.col("uses") + F.col("used_by")), "file")
     return score.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= min(MAX_CONTEXT, room // MIN_CONTEXT))
+
+
+def share_context(candidates: DataFrame, room: int) -> DataFrame:
+    """candidates (chunk, file, place, tokens) with `share`: what each file gets of a chunk's room for context.
+
+    In their order, each may take its equal part of what is left (MIN_CONTEXT at least), and what a short file does
+    not need goes to those behind it; files that less than MIN_CONTEXT is left for are left out. A chunk has at most
+    MAX_CONTEXT candidates, so its files are one short array.
+    """
+    rows = candidates.filter(F.col("place") <= min(MAX_CONTEXT, room // MIN_CONTEXT)).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "file", "tokens"))).alias("c"))
+    kept = F.array().cast(f"array<struct<file:{candidates.schema['file'].dataType.simpleString()},place:int,tokens:bigint,share:bigint>>")
+
+    def give(state, x):
+        left = F.size("c") - state["i"]
+        part = F.least(x["tokens"].cast("long"), F.greatest(F.lit(MIN_CONTEXT).cast("long"), F.floor(state["left"] / left)), state["left"])
+        fits = state["left"] >= MIN_CONTEXT
+        out = F.concat(state["out"], F.array(F.struct(x["file"].alias("file"), x["place"].cast("int").alias("place"), x["tokens"].cast("long").alias("tokens"), part.alias("share"))))
+        return F.struct(F.when(fits, state["left"] - part).otherwise(state["left"]).alias("left"), (state["i"] + 1).alias("i"), F.when(fits, out).otherwise(state["out"]).alias("out"))
+
+    shared = F.aggregate("c", F.struct(F.lit(room).cast("long").alias("left"), F.lit(0).alias("i"), kept.alias("out")), give)["out"]
+    return rows.select("chunk", F.inline(shared))

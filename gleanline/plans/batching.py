@@ -120,6 +120,22 @@ def context_files(spark, sf_dir):
     return batches.context_files(chunks, imports, 1350).select("chunk", "file", "place")
 
 
+@query("context_shares", """WITH RECURSIVE c AS (SELECT DISTINCT p_partkey % 40 AS chunk, p_partkey AS file FROM part), i AS (SELECT DISTINCT p_partkey AS a, p_partkey * 7 % 151 AS b FROM part WHERE p_partkey <> p_partkey * 7 % 151 AND p_partkey * 7 % 151 IN (SELECT p_partkey FROM part)),
+s AS (SELECT chunk, other, sum(u) AS uses, sum(d) AS used_by FROM (SELECT chunk, b AS other, 1 AS u, 0 AS d FROM c JOIN i ON a = file UNION ALL SELECT chunk, a, 0, 1 FROM c JOIN i ON b = file) GROUP BY ALL),
+k AS (SELECT chunk, other AS file, row_number() OVER (PARTITION BY chunk ORDER BY uses > 0 DESC, uses + used_by DESC, other) AS place FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.chunk = s.chunk AND c.file = s.other)),
+n AS (SELECT chunk, file, place, 12 * p_size + length(p_name) AS need, count(*) OVER (PARTITION BY chunk) AS m FROM k JOIN part ON p_partkey = file WHERE place <= 4),
+r AS (SELECT chunk, file, place, need, m, least(need, greatest(300, 1350 // m), 1350) AS share, 1350 - least(need, greatest(300, 1350 // m), 1350) AS rest FROM n WHERE place = 1
+  UNION ALL SELECT n.chunk, n.file, n.place, n.need, n.m, CASE WHEN rest >= 300 THEN least(n.need, greatest(300, rest // (n.m - n.place + 1)), rest) END, rest - CASE WHEN rest >= 300 THEN least(n.need, greatest(300, rest // (n.m - n.place + 1)), rest) ELSE 0 END FROM r JOIN n ON n.chunk = r.chunk AND n.place = r.place + 1)
+SELECT chunk, file, place, need::BIGINT AS tokens, share::BIGINT AS share FROM r WHERE share IS NOT NULL""")
+def context_shares(spark, sf_dir):
+    """What each file of a chunk's context gets of the room: equal parts, short files leave theirs to the next."""
+    part = table(spark, sf_dir, "part")
+    chunks = part.select(F.expr("p_partkey % 40").alias("chunk"), F.col("p_partkey").alias("file"))
+    imports = part.select(F.col("p_partkey").alias("a"), F.expr("p_partkey * 7 % 151").alias("b"))
+    sizes = part.select(F.col("p_partkey").alias("file"), F.expr("12 * p_size + length(p_name)").alias("tokens"))
+    return batches.share_context(batches.context_files(chunks, imports, 1350).join(sizes, "file"), 1350)
+
+
 @query("figures", """WITH e AS (SELECT event_id, event_id % 977 AS k, CASE event_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'CHF' END AS c, CASE WHEN event_id % 11 <> 0 THEN event_id * event_id % 9000000 END AS ms FROM events),
 m AS (SELECT *, CASE WHEN k % 4 = 0 THEN k ELSE 0 END AS whole, floor(coalesce(ms, 0) / 1000.0 + 0.5)::BIGINT AS s FROM e), n AS (SELECT *, floor(s / 60.0 + 0.5)::BIGINT AS mi FROM m)
 SELECT event_id, concat(CASE c WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' ELSE '' END, whole, '.00', CASE c WHEN 'CHF' THEN ' CHF' ELSE '' END) AS money,

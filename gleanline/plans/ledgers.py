@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
-from gleanline.operators import graph, intervals, ledger
+from gleanline.operators import graph, intervals, ledger, resampling
 from gleanline.plans.registry import query
 from gleanline.plans.reviews import table
 
@@ -145,44 +145,44 @@ def clustered_difference(spark, sf_dir):
     return s.select("clusters", T.half_up(mean, 8).alias("mean"), T.half_up(se, 8).alias("se"))
 
 
-#: From which share of 2**32 on a hash counts as one draw more: the distribution of Poisson(1).
-_STEPS = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)
-_DRAW = "('0x' || substr(md5(concat({key}, ':', draw)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_WEIGHT = " + ".join(f"CASE WHEN u >= {p}::DOUBLE THEN 1 ELSE 0 END" for p in _STEPS)
+_HASHED = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
-def poisson(key, draw):
-    """How often a row counts in a draw: a Poisson(1) number made from a hash, so that no draw needs the table resampled."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return sum((F.when(u >= p, 1).otherwise(0) for p in _STEPS), F.lit(0))
+def _drawn(clusters: str, key: str, draws: int) -> str:
+    """p: the clusters by their place, x: how often each of the draws takes them, draw -1 once."""
+    at = _HASHED.format(f"({key})::VARCHAR")
+    slot = _HASHED.format("concat(draw, ':', slot)")
+    return f"""p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {at}, {key}) - 1 AS pos FROM {clusters}), z AS (SELECT count(*) AS n FROM p),
+x AS (SELECT p.*, draw, times FROM (SELECT draw, {slot} % n AS pos, count(*) AS times FROM (SELECT draw, unnest(range(n)) AS slot, n FROM range({draws}) t(draw), z) GROUP BY ALL) JOIN p USING (pos) UNION ALL SELECT *, -1, 1 FROM p)"""
 
 
-@query("bootstrap_interval", f"""WITH r AS (SELECT doc_id, quality - toxic AS d, draw FROM labels, range(200) t(draw)), w AS (SELECT d, draw, {_WEIGHT} AS w FROM (SELECT *, {_DRAW.format(key='doc_id')} AS u FROM r)), m AS (SELECT draw, sum(w * d)::DOUBLE / nullif(sum(w), 0) AS mean FROM w GROUP BY draw)
-SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, avg((mean > 0)::INT) AS p_positive FROM m""")
+_ENDS = "list_sort(list({v}) FILTER (draw >= 0))[{k}]"
+
+
+@query("bootstrap_interval", f"""WITH c AS (SELECT doc_id, quality - toxic AS d FROM labels), {_drawn('c', 'doc_id', 200)}, m AS (SELECT draw, sum(times * d)::DOUBLE / sum(times) AS mean FROM x GROUP BY draw)
+SELECT {_ENDS.format(v='mean', k=6)} AS low, {_ENDS.format(v='mean', k=196)} AS high, (count(*) FILTER (draw >= 0 AND mean > 0))::DOUBLE / count(*) FILTER (draw >= 0) AS p_positive FROM m""")
 def bootstrap_interval(spark, sf_dir, draws: int = 200):
-    """Percentile interval of the mean paired difference. The draws of a row are one array; sums of each draw are all that is shuffled."""
+    """Percentile interval of the mean paired difference; sums of each draw are all that is gathered."""
     rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).alias("d"))
-    each = rows.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    per_draw = each.withColumn("w", poisson(F.col("doc_id"), F.col("draw"))).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean"))
-    return per_draw.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("p_positive"))
+    per_draw = resampling.resampled(rows, "doc_id", draws).groupBy("draw").agg(F.try_divide(F.sum(F.col("times") * F.col("d")).cast("double"), F.sum("times").cast("double")).alias("mean"))
+    return resampling.interval(per_draw, "mean").drop("observed")
 
 
 _CLUSTERS = """c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS atp, count(*) FILTER (quality = 0 AND toxic = 1) AS afp, count(*) FILTER (quality = 1 AND toxic = 0) AS afn,
 count(*) FILTER (quality = 1 AND n_chars < 900) AS btp, count(*) FILTER (quality = 0 AND n_chars < 900) AS bfp, count(*) FILTER (quality = 1 AND n_chars >= 900) AS bfn FROM labels JOIN documents USING (doc_id) GROUP BY source)"""
 
 
-@query("f1_difference", f"""WITH {_CLUSTERS}, w AS (SELECT *, {_WEIGHT} AS w FROM (SELECT *, {_DRAW.format(key='source')} AS u FROM c, range(400) t(draw))),
-s AS (SELECT draw, 2 * sum(w * atp)::DOUBLE / nullif(sum(w * (2 * atp + afp + afn)), 0) - 2 * sum(w * btp)::DOUBLE / nullif(sum(w * (2 * btp + bfp + bfn)), 0) AS d FROM w GROUP BY draw)
-SELECT (SELECT 2 * sum(atp)::DOUBLE / nullif(sum(2 * atp + afp + afn), 0) - 2 * sum(btp)::DOUBLE / nullif(sum(2 * btp + bfp + bfn), 0) FROM c) AS difference, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg((d > 0)::INT) AS p_positive FROM s""")
+_F1 = "coalesce(2 * sum(times * {n}tp)::DOUBLE / nullif(sum(times * (2 * {n}tp + {n}fp + {n}fn)), 0), 0)"
+
+
+@query("f1_difference", f"""WITH {_CLUSTERS}, {_drawn('c', 'source', 400)}, s AS (SELECT draw, {_F1.format(n='a')} - {_F1.format(n='b')} AS d FROM x GROUP BY draw)
+SELECT max(d) FILTER (draw = -1) AS difference, {_ENDS.format(v='d', k=11)} AS low, {_ENDS.format(v='d', k=391)} AS high, (count(*) FILTER (draw >= 0 AND d > 0))::DOUBLE / count(*) FILTER (draw >= 0) AS p_positive FROM s""")
 def f1_difference(spark, sf_dir, draws: int = 400):
     """F1 of two detectors of good texts and a paired bootstrap of their difference over sources: both are drawn alike. Counts by source come first, so a draw reads a few rows."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
     good, a, b = F.col("quality") == 1, F.col("toxic") == 1, F.col("n_chars") < 900
     counts = {f"{n}{k}": F.count_if(test) for n, x in (("a", a), ("b", b)) for k, test in (("tp", good & x), ("fp", (F.col("quality") == 0) & x), ("fn", good & ~x))}
     clusters = rows.groupBy("source").agg(*(c.alias(n) for n, c in counts.items()))
-    # draw -1 is the sample itself: each source counts once
-    each = clusters.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1)))).withColumn("w", F.when(F.col("draw") < 0, 1).otherwise(poisson(F.col("source"), F.col("draw"))))
-    f1 = lambda n: F.try_divide(2 * F.sum(F.col("w") * F.col(f"{n}tp")).cast("double"), F.sum(F.col("w") * (2 * F.col(f"{n}tp") + F.col(f"{n}fp") + F.col(f"{n}fn"))).cast("double"))
-    per_draw = each.groupBy("draw").agg((f1("a") - f1("b")).alias("d"))
-    drawn = F.when(F.col("draw") >= 0, F.col("d"))
-    return per_draw.agg(F.max(F.when(F.col("draw") < 0, F.col("d"))).alias("difference"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"), F.avg((drawn > 0).cast("double")).alias("p_positive"))
+    f1 = lambda n: F.coalesce(F.try_divide(2 * F.sum(F.col("times") * F.col(f"{n}tp")).cast("double"), F.sum(F.col("times") * (2 * F.col(f"{n}tp") + F.col(f"{n}fp") + F.col(f"{n}fn"))).cast("double")), F.lit(0.0))
+    per_draw = resampling.resampled(clusters, "source", draws).groupBy("draw").agg((f1("a") - f1("b")).alias("d"))
+    return resampling.interval(per_draw, "d").withColumnRenamed("observed", "difference")
