@@ -260,3 +260,35 @@ def enclosing(lines: DataFrame, keys: list[str], back: int = 300) -> DataFrame:
     rows = lines.groupBy(*keys).agg(declared.alias("_d"), asked.alias("_w")).select(*keys, "_d", F.explode("_w").alias("_l"))
     near = F.filter("_d", lambda d: (d["at"] <= F.col("_l.at")) & (d["at"] >= F.col("_l.at") - back) & (F.col("_l.indent").isNull() | (d["indent"] <= F.col("_l.indent"))))
     return rows.withColumn("_n", F.element_at(F.when(F.size(near) > 0, near), -1)).filter("_n IS NOT NULL").select(*keys, F.col("_l.at").alias("at"), F.col("_n.name").alias("name"), F.col("_n.at").alias("decl_at"))
+
+
+def smart_groups(files: DataFrame, edges: DataFrame, imports: DataFrame, budget: int) -> DataFrame:
+    """(run, chunk, file, place): a review's files in chunks of at most `budget` tokens that keep together what belongs together.
+
+    Files that strong affinities connect are a component; one beyond the budget is cut along its strongest links;
+    pieces are packed by the links between them, and each chunk's files are ordered behind what they import.
+    Chunks count from 0 by their first path. A file beyond the budget is a chunk of its own.
+
+    files: run, file (unique over all runs), tokens, is_test; edges: a, b, weight, reason, all kinds at once;
+    imports: a, b. A step that depends on its own choices sees one component, or one review's pieces, or one chunk.
+    """
+    from pyspark.sql import Window
+
+    near = cut(affinity(edges).select("a", "b", "weight"))
+    of = components(near.filter(F.col("weight") >= STRONG)).withColumnRenamed("v", "file")
+    members = cut(files.join(of, "file", "left").select("run", "file", "tokens", "is_test", F.coalesce("component", "file").alias("group")))
+    ends = lambda rows, by: rows.join(members.select(F.col("file").alias("a"), F.col(by).alias("_a"), F.col("run").alias("_ra")), "a").join(members.select(F.col("file").alias("b"), F.col(by).alias("_b"), F.col("run").alias("_rb")), "b")
+    inside = ends(near, "group").filter("_a = _b").select(F.col("_a").alias("group"), "a", "b", "weight")
+    pieces = split_components(members.select("group", "file", F.col("tokens").cast("long").alias("size")), inside, budget)
+    # a piece is named by its first file
+    named = pieces.withColumn("item", F.min("file").over(Window.partitionBy("group", "piece"))).select("file", "item")
+    members = cut(members.drop("group").join(named, "file"))
+    items = members.groupBy(F.col("run").alias("group"), "item").agg(F.sum("tokens").cast("long").alias("tokens"))
+    between = ends(near, "item").filter("_ra = _rb AND _a <> _b").groupBy(F.col("_ra").alias("group"), F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("weight").alias("weight"))
+    binned = members.join(pack_items(items, between, budget).withColumnRenamed("group", "run"), ["run", "item"])
+    first = binned.groupBy("run", "bin").agg(F.min("file").alias("_f"))
+    numbered = first.select("run", "bin", (F.row_number().over(Window.partitionBy("run").orderBy("_f")) - 1).alias("chunk"), F.col("_f").alias("group"))
+    members = cut(binned.join(numbered, ["run", "bin"]).select("run", "chunk", "group", "file", "is_test"))
+    own = imports.select("a", "b").distinct().join(members.select(F.col("file").alias("a"), "group"), "a").join(members.select(F.col("file").alias("b"), F.col("group").alias("_g")), "b").filter("group = _g").select("group", "a", "b")
+    placed = order_files(members.select("group", "file", "is_test"), own)
+    return members.join(placed.select("file", "place"), "file").select("run", "chunk", "file", "place")

@@ -249,6 +249,23 @@ def component_pieces(spark, sf_dir):
     return graph.split_components(members, edges.select("group", "a", "b", "weight"), 400)
 
 
+@query("smart_groups")
+def smart_groups(spark, sf_dir):
+    """Files of part in chunks of 900 tokens: five kinds of edges in one graph, its components, pieces, chunks and order."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    files = part_files(spark, sf_dir).join(part, "k")
+    name_of = files.select("k", "file")
+    changes = table(spark, sf_dir, "lineitem").join(name_of, F.col("l_partkey") == F.col("k")).select("l_orderkey", "file", F.regexp_extract("file", "^([^/]*)", 1).alias("run"))
+    together = graph.cochange(changes.select(F.concat_ws(":", "run", F.col("l_orderkey").cast("string")).alias("c"), "file"), "c", "file", min_count=1).select("a", "b", "weight", F.lit("cochange").alias("reason"))
+    plain = file_graph(spark, sf_dir)
+    imports = plain.filter("reason = 'import'").select("a", "b")
+    calls = graph.call_edges(files.filter("k % 3 = 0").select(F.col("p_name").alias("name"), "file"), files.filter("k % 3 = 1").select(F.col("p_name").alias("name"), "file"), imports.unionByName(imports.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    run = lambda c: F.regexp_extract(c, "^([^/]*)", 1)
+    edges = plain.unionByName(together).unionByName(calls).filter(run("a") == run("b"))
+    rows = files.select(F.col("pack").alias("run"), "file", F.expr("20 + k % 90").alias("tokens"), F.expr("k % 7 = 0").alias("is_test"))
+    return graph.smart_groups(rows, edges, imports, 900)
+
+
 @query("packed_chunks")
 def packed_chunks(spark, sf_dir):
     files = part_files(spark, sf_dir)

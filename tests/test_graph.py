@@ -107,3 +107,56 @@ def test_extended_skills_come_in_while_there_is_room(spark):
     assert got == {(1, "a", "match"), (1, "b", "match"), (2, "b", "match")}
     got = {(r.chunk, r.skill, r.via) for r in skills.select(rows, known, 115).collect()}
     assert got == {(1, "a", "match"), (1, "b", "match"), (1, "p", "extends:a"), (2, "b", "match")}
+
+
+def test_smart_groups_keep_what_belongs_together(spark):
+    import random
+
+    rng = random.Random(8)
+    files = {f"r{r}/f{k:02d}": (r, rng.choice([5, 20, 40, 130]), rng.random() < 0.2) for r in range(3) for k in range(40)}
+    names = sorted(files)
+    edges, imports = [], []
+    for r in range(3):
+        own = [f for f in names if files[f][0] == r]
+        for _ in range(60):
+            a, b = rng.sample(own, 2)
+            edges.append((a, b, rng.choice([0.1, 0.3, 0.6, 1.0]), rng.choice(["import", "call", "directory"])))
+            imports += [(a, b)] * (edges[-1][3] == "import")
+    found = graph.smart_groups(spark.createDataFrame([(r, f, n, t) for f, (r, n, t) in files.items()], "run int, file string, tokens int, is_test boolean"), spark.createDataFrame(edges, "a string, b string, weight double, reason string"), spark.createDataFrame(imports, "a string, b string"), 120).collect()
+    assert sorted(r.file for r in found) == names and all(files[r.file][0] == r.run for r in found)
+    chunks = {}
+    for r in found:
+        chunks.setdefault((r.run, r.chunk), []).append((r.place, r.file))
+    where = {f: c for c, rows in chunks.items() for _, f in rows}
+    for rows in chunks.values():
+        assert sorted(p for p, _ in rows) == list(range(len(rows)))
+        assert sum(files[f][1] for _, f in rows) <= 120 or len(rows) == 1
+    for run in range(3):
+        firsts = [min(f for _, f in chunks[c]) for c in sorted(c for c in chunks if c[0] == run)]
+        assert firsts == sorted(firsts) and [c[1] for c in sorted(c for c in chunks if c[0] == run)] == list(range(len(firsts)))
+    # components of strong affinities by a plain union, those within the budget in one chunk
+    weight, group = {}, {f: f for f in names}
+    for a, b, w, reason in edges:
+        key = (min(a, b), max(a, b), reason)
+        weight[key] = max(weight.get(key, 0), w)
+    total = {}
+    for (a, b, _), w in weight.items():
+        total[a, b] = total.get((a, b), 0) + w
+    changed = True
+    while changed:
+        changed = False
+        for (a, b), w in total.items():
+            if w >= graph.STRONG and group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    for g in set(group.values()):
+        members = [f for f in names if group[f] == g]
+        if sum(files[f][1] for f in members) <= 120:
+            assert len({where[f] for f in members}) == 1
+    # within a chunk a file stands behind what it imports, unless both import each other by some way
+    reach = {f: {b for a, b in imports if a == f} for f in names}
+    for _ in range(6):
+        reach = {f: r | set().union(*(reach[x] for x in r)) if r else r for f, r in reach.items()}
+    place = {f: p for rows in chunks.values() for p, f in rows}
+    inside = [(a, b) for a, b in imports if where[a] == where[b] and a not in reach[b]]
+    assert inside and all(place[b] < place[a] for a, b in inside)
