@@ -42,3 +42,18 @@ def test_query(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op.query(spark, str(tmp_path)).collect() == []
+
+
+def test_against_a_plain_loop_over_shards(spark):
+    import hashlib
+    import math
+
+    draw = lambda key, s: int(hashlib.md5(f"{'null' if key is None else key}:{s}".encode()).hexdigest()[: op.DIGITS], 16)
+    keys = [None, *range(-50, 400)]
+    for weights in ([1.0] * 24, [2.0, 1.0, 0.25, 7.0]):
+        score = (lambda k, s: draw(k, s)) if len(set(weights)) == 1 else (lambda k, s: -weights[s] / math.log((draw(k, s) + 0.5) / 2.0**52))  # noqa: B023
+        assert shards(spark, keys, weights) == {k: max(range(len(weights)), key=lambda s: (score(k, s), s)) for k in keys}
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    best, later = op.grown(op.F.col("k"), 24)
+    got = {r.k: (r.a, r.b) for r in rows.select("k", best.alias("a"), later.alias("b")).collect()}
+    assert got == {k: tuple(max(range(n), key=lambda s: (draw(k, s), s)) for n in (24, 25)) for k in keys}
