@@ -36,6 +36,10 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transfor
 f AS (SELECT *, ({_RULES})::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {op4_quality.mask(op4_quality.POLICIES['base'])} <> 0 AS base_failed, failed_bits & {op4_quality.mask(op4_quality.POLICIES[op4_quality.IN_FORCE])} = 0 AS kept, failed_bits FROM f"""
 
+_POLICY = op4_quality.mask(op4_quality.POLICIES[op4_quality.IN_FORCE])
+ABLATION = f"""WITH q AS ({QUALITY}), b AS (SELECT source, failed_bits & {_POLICY} AS bits FROM q JOIN documents USING (doc_id)), r(rule, bit) AS (VALUES {', '.join(f"('{r}', {op4_quality.BIT[r]})" for r in op4_quality.POLICIES[op4_quality.IN_FORCE])})
+SELECT source, rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_failed_alone, count(*) FILTER (bits & ({_POLICY} - bit) = 0) AS n_kept_without FROM b, r GROUP BY source, rule"""
+
 JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS.format(_LOWERED)} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM d WHERE len(ws) >= {op10_jaccard.WORDS}),
 g AS (SELECT DISTINCT doc_id, gram FROM ({_grams('u', op10_jaccard.WORDS)}) UNION ALL SELECT doc_id, array_to_string(ws, chr(1)) FROM d WHERE len(ws) BETWEEN 1 AND {op10_jaccard.WORDS - 1}),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),

@@ -25,6 +25,7 @@ ORACLES = {
     "op2_lines": op2_lines.ORACLE,
     "op1_decontamination": oracles.DECONTAMINATION,
     "op4_quality": oracles.QUALITY,
+    "quality_ablation": oracles.ABLATION,
     "op10_jaccard": oracles.JACCARD,
     "op12_prefix_trie": op12_prefix_trie.ORACLE,
 }
