@@ -82,9 +82,11 @@ def entries(files: DataFrame) -> DataFrame:
     headed = known.withColumn("_top", F.when(header, F.struct(F.col("_name").alias("name"), element.alias("element"))))
     placed = headed.withColumn("_top", F.last("_top", ignorenulls=True).over(upto)).filter(~F.col("_header"))
     path = F.concat(F.coalesce("_top.name", F.array().cast("array<string>")), _names(F.regexp_extract("text", _ENTRY, 1)))
-    first = F.array(F.struct(path.alias("path"), F.trim(F.regexp_extract("text", _ENTRY, 2)).alias("raw")))
-    twice = F.flatten(F.transform(F.flatten(F.transform(first, _inner)), lambda e: F.when(F.size(e["path"]) > F.size(path), _inner(e)).otherwise(F.array(e))))
-    rows = placed.select("file", "statement", F.col("_top.element").alias("element"), F.explode(twice).alias("e")).select("file", "statement", "element", "e.path", "e.raw")
+    # path and value are columns of their own, as functions over arrays would work them out for each element
+    split = placed.select("file", "statement", F.col("_top.element").alias("element"), path.alias("_path"), F.trim(F.regexp_extract("text", _ENTRY, 2)).alias("_raw"))
+    first = split.withColumn("_first", _inner(F.struct(F.col("_path").alias("path"), F.col("_raw").alias("raw"))))
+    twice = F.flatten(F.transform("_first", lambda e, k: F.when(k > 0, _inner(e)).otherwise(F.array(e))))
+    rows = first.select("file", "statement", "element", F.explode(twice).alias("e")).select("file", "statement", "element", "e.path", "e.raw")
     items = F.when(F.startswith("raw", F.lit("[")), F.transform(F.regexp_extract_all("raw", F.lit(_STRING), F.lit(0)), _unquoted))
     return rows.select("*", _unquoted(F.col("raw")).alias("value"), items.alias("items"))
 
@@ -141,22 +143,22 @@ def dependencies(files: DataFrame) -> DataFrame:
     """
     rows = _manifests(files)
     path = F.col("path")
-    lists = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p) & (F.size(path) == len(p.split("."))), F.lit(dev)) for kind, p, dev in _LISTS))
-    # one row a required thing: what a table says about a key is gathered by the key's place
-    place = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p + ".*"), F.struct(F.lit(len(p.split("."))).alias("depth"), F.lit(eco).alias("eco"), F.lit(dev).alias("dev"))) for kind, p, eco, dev in _TABLES))
-    shared = F.when((F.col("kind") == "catalog") & _lies(path, "versions.*"), F.get(path, F.lit(1)))
-    marked = rows.withColumn("_list", lists).withColumn("_place", place).withColumn("_shared", shared)
-
-    each = marked.filter("_list IS NOT NULL").select("file", F.col("_list").alias("dev"), F.explode("items").alias("line"))
-    listed = each.select("file", F.lit("pypi").alias("eco"), _requirement(F.col("line")).alias("r"), "dev").filter("r.name <> ''").select("file", "eco", "r.name", "r.spec", "dev")
-
-    inner = F.array_join(F.expr("slice(path, _place.depth + 2, size(path))"), ".")
-    said = marked.filter("_place IS NOT NULL").select("file", "kind", F.expr("slice(path, 1, _place.depth + 1)").alias("at"), "_place.eco", "_place.dev", inner.alias("inner"), "value", "items")
+    dev = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p) & (F.size(path) == len(p.split("."))), F.lit(dev)) for kind, p, dev in _LISTS))
+    place = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p + ".*"), F.struct(F.lit(len(p.split("."))).alias("depth"), F.lit(eco).alias("eco"), F.lit(dev).alias("dev"))) for kind, p, eco, dev in [*_TABLES, ("catalog", "versions", "", False)]))
+    marked = rows.withColumn("_dev", dev).withColumn("_place", place).filter("_dev IS NOT NULL OR _place IS NOT NULL")
+    # what is said of one thing: a requirement's line is one by itself, a table's keys are gathered by the place of their thing
+    claim = lambda n, at, eco, dev, inner, value, items: F.struct(n.alias("n"), at.alias("at"), eco.alias("eco"), dev.alias("dev"), inner.alias("inner"), value.alias("value"), items.alias("items"))
+    none = F.lit(None).cast("array<string>")
+    lines = F.transform(F.transform("items", _requirement), lambda r, k: claim(k + 1, F.concat(path, F.array(r["name"])), F.lit("pypi"), F.col("_dev"), F.lit(""), r["spec"], none))
+    keys = F.array(claim(F.lit(0), F.expr("slice(path, 1, _place.depth + 1)"), F.col("_place.eco"), F.col("_place.dev"), F.array_join(F.expr("slice(path, _place.depth + 2, size(path))"), "."), F.col("value"), F.col("items")))
+    said = marked.select("file", "kind", F.when(F.col("_place").isNotNull(), F.lit(0)).otherwise(F.col("statement")).alias("_s"), F.explode(F.when(F.col("_place").isNotNull(), keys).otherwise(lines)).alias("c")).select("file", "kind", "_s", "c.*")
     of = lambda *names: F.coalesce(*(F.max(F.when(F.col("inner") == n, F.col("value"))) for n in names))
-    wide = said.groupBy("file", "kind", "at", "eco", "dev").agg(of("").alias("own"), of("version", "version.require", "version.strictly", "version.prefer").alias("version"), of("version.ref").alias("ref"), of("package").alias("package"), of("module").alias("module"), of("group").alias("group"), of("name").alias("artifact"), of("id").alias("id"), F.max(F.when(F.col("inner") == "features", F.col("items"))).alias("features"))
-    wide = wide.filter(~((F.col("kind") == "pyproject") & (F.lower(F.element_at("at", -1)) == "python")))
-    rich = marked.filter("_shared IS NOT NULL").groupBy("file", "_shared").agg(F.coalesce(*(F.max(F.when(F.array_join(F.expr("slice(path, 3, size(path))"), ".") == n, F.col("value"))) for n in ("", "require", "strictly", "prefer"))).alias("pointed"))
-    full = wide.join(rich.withColumnRenamed("_shared", "ref"), ["file", "ref"], "left")
+    wide = said.groupBy("file", "kind", "_s", "n", "at", "eco", "dev").agg(of("").alias("own"), of("version", "version.require", "version.strictly", "version.prefer").alias("version"), of("require", "strictly", "prefer").alias("rich"), of("version.ref").alias("ref"), of("package").alias("package"), of("module").alias("module"), of("group").alias("group"), of("name").alias("artifact"), of("id").alias("id"), F.max(F.when(F.col("inner") == "features", F.col("items"))).alias("features"))
+    # a shared version and those that point at it lie side by side
+    shared = F.col("eco") == ""
+    near = Window.partitionBy("file", F.when(shared, F.element_at("at", -1)).otherwise(F.col("ref")))
+    full = wide.withColumn("pointed", F.when(F.col("ref").isNotNull(), F.max(F.when(shared, F.coalesce("own", "rich"))).over(near)))
+    full = full.filter(~shared & (F.element_at("at", -1) != "") & ~((F.col("kind") == "pyproject") & (F.col("n") == 0) & (F.lower(F.element_at("at", -1)) == "python")))
 
     key, plugin = F.element_at("at", -1), F.element_at("at", 1) == "plugins"
     parts = F.split("own", ":", -1)
@@ -165,8 +167,9 @@ def dependencies(files: DataFrame) -> DataFrame:
     name = F.when(F.col("kind") != "catalog", F.coalesce("package", key)).when(plugin, F.concat(F.lit("plugin:"), id_)).otherwise(library)
     spec = F.when(F.col("kind") != "catalog", F.coalesce("own", "version")).otherwise(F.coalesce(F.when(plugin, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(2))), "version", "pointed"))
     called = full.select("file", "eco", name.alias("name"), F.trim(spec).alias("spec"), "dev", F.when(F.col("kind") == "cargo", F.col("features")).alias("features")).filter("name IS NOT NULL")
-    features = called.select("file", "eco", F.explode("features").alias("f"), "name", "dev").select("file", "eco", F.concat("name", F.lit("["), "f", F.lit("]")).alias("name"), F.lit(None).cast("string").alias("spec"), "dev")
-    found = listed.unionByName(called.drop("features")).unionByName(features)
+    thing = F.struct("name", "spec")
+    features = F.transform(F.coalesce("features", F.array().cast("array<string>")), lambda f: F.struct(F.concat("name", F.lit("["), f, F.lit("]")).alias("name"), F.lit(None).cast("string").alias("spec")))
+    found = called.select("file", "eco", F.explode(F.concat(F.array(thing), features)).alias("t"), "dev").select("file", "eco", "t.*", "dev")
     return found.select("file", "eco", F.when(F.col("eco") == "pypi", F.lower(F.regexp_replace("name", "[-_.]+", "-"))).otherwise(F.col("name")).alias("name"), F.when(F.col("spec") != "", F.col("spec")).alias("spec"), "dev")
 
 

@@ -85,7 +85,7 @@ values = quoted | arrays | st.integers(0, 99).map(str) | st.builds(lambda d: "{
 tables = st.dictionaries(names, st.dictionaries(names, values, max_size=4), max_size=4)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(tables, min_size=30, max_size=40))
 def test_like_pythons_reader(spark, docs):
     sources = ["".join(f"[{t}] # {t}\n" + "".join(f"{k} = {v}\n" for k, v in d.items()) for t, d in doc.items()) for doc in docs]
