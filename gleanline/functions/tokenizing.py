@@ -39,8 +39,6 @@ def exact(text: Column, path: str, pattern: str) -> Column:
         for batch in batches:
             yield pd.Series([0 if pieces is None else sum(len(encoder.encode_ordinary(p)) for p in pieces) for pieces in batch], dtype="int64")
 
-    # annotations are text here, so the kind of function is given by its types at hand
-    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "long")(text)
 
 
