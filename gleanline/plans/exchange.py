@@ -154,9 +154,10 @@ def sarif_sink(spark, sf_dir):
     logs = sinks.sarif(_reported(spark, sf_dir), "run")
     schema = "struct<runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string,defaultConfiguration:struct<level:string>>>>>,results:array<struct<ruleId:string,level:string,partialFingerprints:map<string,string>>>>>>"
     runs = logs.select("run", F.explode(F.from_json("text", schema)["runs"]).alias("r"))
-    rows = runs.select("run", F.col("r.tool.driver.rules").alias("rules"), F.explode("r.results").alias("x"))
-    rule = F.get(F.filter("rules", lambda y: y["id"] == F.col("x.ruleId")), F.lit(0))
-    return rows.select("run", F.col("x.ruleId").alias("rule_id"), F.element_at("x.partialFingerprints", F.lit("finding/v1")).alias("fingerprint"), "x.level", rule["defaultConfiguration"]["level"].alias("rule_level"))
+    runs = runs.select("run", F.col("r.results").alias("results"), F.transform("r.tool.driver.rules", lambda y: y["id"]).alias("ids"), F.transform("r.tool.driver.rules", lambda y: y["defaultConfiguration"]["level"]).alias("levels"))
+    level = lambda x: F.get("levels", (F.array_position("ids", x["ruleId"]) - 1).cast("int"))
+    rows = runs.select("run", F.explode(F.transform("results", lambda x: F.struct(x.alias("x"), level(x).alias("rule_level")))).alias("y")).select("run", "y.x", "y.rule_level")
+    return rows.select("run", F.col("x.ruleId").alias("rule_id"), F.element_at("x.partialFingerprints", F.lit("finding/v1")).alias("fingerprint"), "x.level", "rule_level")
 
 
 @query("code_quality_sink", f"""WITH {SQL} SELECT run, {_RULE} AS check_name, md5(id) AS fingerprint, title AS description, start AS begin_line, "end" AS end_line FROM f""")

@@ -169,10 +169,15 @@ _SECURE = r"(?i)^(?:security|external/cwe/cwe-\d+|cwe-\d+|owasp.*)$"
 def sarif(reports: DataFrame, key: str, text: str, confidence: float = 0.4) -> DataFrame:
     """SARIF 2.1.0 logs; a result's rule is found by its id, then by its number. Rules that are tagged as style only are left out."""
     runs = _json(reports, text, _SARIF).select(key, F.explode("_j.runs").alias("_run"))
-    rows = runs.select(key, F.col("_run.tool.driver.rules").alias("rules"), F.explode("_run.results").alias("r"))
-    named = lambda c: F.get(F.filter("rules", lambda x: x["id"] == c), F.lit(0))
-    at = F.coalesce("r.ruleIndex", "r.rule.index")
-    rows = rows.withColumn("rule", F.coalesce(named(F.col("r.ruleId")), named(F.col("r.rule.id")), F.when(at >= 0, F.get("rules", at))))
+    runs = runs.select(key, F.col("_run.tool.driver.rules").alias("_rules"), F.col("_run.results").alias("_results")).withColumn("_ids", F.transform("_rules", lambda x: x["id"]))
+
+    def with_rule(r: Column) -> Column:
+        named = lambda c: F.get("_rules", F.when(F.array_position("_ids", c) > 0, F.array_position("_ids", c) - 1).cast("int"))
+        at = F.coalesce(r["ruleIndex"], r["rule"]["index"])
+        return F.struct(r.alias("r"), F.coalesce(named(r["ruleId"]), named(r["rule"]["id"]), F.when(at >= 0, F.get("_rules", at))).alias("rule"))
+
+    # a result meets its rule inside its run's row, so that no row carries the run's whole table of rules
+    rows = runs.select(key, F.explode(F.transform("_results", with_rule)).alias("_x")).select(key, "_x.r", "_x.rule")
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     rows = rows.select("*", F.coalesce("r.ruleId", "r.rule.id", "rule.id", F.lit("unknown")).alias("rule_id"), place["artifactLocation"]["uri"].alias("uri"), F.greatest(F.lit(1), F.coalesce(place["region"]["startLine"], F.lit(1))).alias("start"), place["region"]["endLine"].alias("last"))
     none = F.array().cast("array<string>")
