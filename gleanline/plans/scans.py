@@ -56,9 +56,10 @@ def _union() -> str:
 
 
 _SLASH, _HASH = ("javascript", "typescript", "java", "go", "c", "php"), ("python", "ruby", "shell", "yaml", "terraform", "dockerfile", "php")
+_COMMENTS = f"""l AS MATERIALIZED (SELECT *, (lang IN {_SLASH} AND regexp_matches(line, '^\\s*(?://|/\\*|\\*(?:\\s|/|$))')) OR (lang IN {_HASH} AND regexp_matches(line, '^\\s*#(?:[^!\\[]|$)')) OR (lang = 'sql' AND regexp_matches(line, '^\\s*(?:--|/\\*)')) AS comment FROM n)"""
 _FILES = f"""d AS MATERIALIZED (SELECT doc_id, {_PATH} AS path, {_LANG} AS lang, doc_id % 4 = 0 AS whole, list_transform(range(1, 7 + doc_id % 40), lambda i: ([{', '.join(map(_text, LINES))}])[1 + {_PICK}]) AS ls FROM documents),
 c AS MATERIALIZED (SELECT *, array_to_string(ls, chr(10)) AS content FROM d), n AS (SELECT *, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM c),
-l AS MATERIALIZED (SELECT *, (lang IN {_SLASH} AND regexp_matches(line, '^\\s*(?://|/\\*|\\*(?:\\s|/|$))')) OR (lang IN {_HASH} AND regexp_matches(line, '^\\s*#(?:[^!\\[]|$)')) OR (lang = 'sql' AND regexp_matches(line, '^\\s*(?:--|/\\*)')) AS comment FROM n),
+{_COMMENTS},
 h AS MATERIALIZED (SELECT * FROM ({_union()}) WHERE whole OR (i <= 8 AND e >= 3) OR (i <= 18 AND e >= 15))"""
 
 
@@ -97,3 +98,28 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, i, coalesce(k, concat(analyzer,
 def analysis(spark, sf_dir):
     """The final hits of all built-in analyzers: capped, damped in tests, one a spot and key."""
     return rules.analyze(files(spark, sf_dir)).select("file", "start", "analyzer", "rule_id", "severity", "confidence", "non_rejectable")
+
+
+_MIXED = f"""c AS MATERIALIZED (SELECT *, array_to_string(ls, chr(10)) AS content FROM (SELECT *, flatten(list_transform(string_split_regex(own, '\\r?\\n'), lambda x, j: [x, ([{', '.join(map(_text, LINES))}])[1 + (doc_id * 7 + j * j * 3) % {_N}]])) AS ls FROM d)),
+n AS (SELECT *, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM c), {_COMMENTS} SELECT doc_id AS file, i AS start, e AS "end", rule_id, severity, category, confidence FROM ({_union()})"""
+
+
+def _mixed(rows, own: str):
+    """The hits in whole texts whose every line is followed by a line of code."""
+    known = F.array(*(F.lit(x) for x in LINES))
+    after = lambda j: F.element_at(known, (F.pmod(F.col("file") * 7 + (j + 1) * (j + 1) * 3, F.lit(_N)) + 1).cast("int"))
+    content = F.array_join(F.flatten(F.transform(F.split(own, "\r?\n", -1), lambda x, j: F.array(x, after(j)))), "\n")
+    files = rows.select("file", "path", "language", content.alias("content"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("ranges"))
+    return rules.scan(files).select("file", "start", "end", "rule_id", "severity", "category", "confidence")
+
+
+@query("document_scan", f"WITH d AS (SELECT doc_id, {_PATH} AS path, {_LANG} AS lang, true AS whole, text AS own FROM documents), {_MIXED}")
+def document_scan(spark, sf_dir):
+    """All rules over the whole texts of documents, as files of thirteen languages, code between their lines."""
+    return _mixed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.expr(_PATH).alias("path"), F.expr(_LANG).alias("language"), "text"), "text")
+
+
+@query("page_scan", f"WITH d AS (SELECT page_id AS doc_id, url AS path, 'javascript' AS lang, true AS whole, html AS own FROM pages), {_MIXED}")
+def page_scan(spark, sf_dir):
+    """The rules for scripts over the whole html of pages, code between its lines."""
+    return _mixed(table(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.col("url").alias("path"), F.lit("javascript").alias("language"), "html"), "html")

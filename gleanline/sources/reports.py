@@ -162,6 +162,7 @@ def osv(reports: DataFrame, key: str, text: str, manifests: DataFrame) -> DataFr
 _SARIF = """struct<runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string,shortDescription:struct<text:string>,defaultConfiguration:struct<level:string>,properties:struct<`security-severity`:string,precision:string,tags:array<string>>>>>>,
 results:array<struct<ruleId:string,ruleIndex:int,rule:struct<id:string,index:int>,level:string,message:struct<text:string,markdown:string>,properties:struct<`security-severity`:string,tags:array<string>>,
 locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:long,endLine:long>>>>>>>>>"""
+# Tags of rules that are about style, and of those about security.
 _STYLE = r"(?i)^(?:style|stylistic|convention|readability|maintainability|formatting|naming|documentation)$"
 _SECURE = r"(?i)^(?:security|external/cwe/cwe-\d+|cwe-\d+|owasp.*)$"
 
