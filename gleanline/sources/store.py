@@ -286,8 +286,8 @@ def answered(wanted: DataFrame, path: str, secret: str, kind: str, make) -> Data
     answer. A refused entry is a missing one.
     """
     spark = wanted.sparkSession
-    keys = wanted.filter("key IS NOT NULL")
+    keys = wanted.filter("key IS NOT NULL").dropDuplicates(["key"])  # before any join, so that a key of many rows is one
     held = read(spark, path, secret, kind=kind).select("key")
-    made = make(keys.join(held, "key", "left_anti").dropDuplicates(["key"]))
+    made = make(keys.join(held, "key", "left_anti"))
     write(made.select(F.lit(kind).alias("kind"), "key", F.current_timestamp().alias("created_at"), "data"), path, secret)
     return latest(read(spark, path, secret, kind=kind)).join(keys.select("key"), "key", "left_semi").select("key", "data")
