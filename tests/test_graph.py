@@ -160,3 +160,18 @@ def test_smart_groups_keep_what_belongs_together(spark):
     place = {f: p for rows in chunks.values() for p, f in rows}
     inside = [(a, b) for a, b in imports if where[a] == where[b] and a not in reach[b]]
     assert inside and all(place[b] < place[a] for a, b in inside)
+
+
+def test_a_name_of_many_files_makes_no_pairs(spark):
+    rows = lambda n, name: spark.range(n).selectExpr(f"'{name}' AS name", "id AS file")
+    declaring, calling = rows(5000, "hot").unionByName(rows(2, "rare")), rows(5000, "hot").unionByName(rows(3, "rare"))
+    assert {tuple(r) for r in graph.call_pairs(declaring, calling).collect()} == {(a, b) for a in range(3) for b in range(2) if a != b}
+
+
+def test_call_links_meets_only_the_names_that_link(spark, tmp_path):
+    from gleanline.plans import graphs
+
+    # one name that 20,000 files declare and call (400,000,000 pairs), and one that links file 1 with file 3
+    hot = spark.range(40000).selectExpr("3000L AS l_partkey", "id + 10 AS l_orderkey", "cast(1 + id % 2 AS int) AS l_linenumber")
+    hot.union(spark.createDataFrame([(7, 3, 1), (7, 1, 2)], hot.schema)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in graphs.call_links(spark, str(tmp_path)).collect()] == [(1, 3)]
