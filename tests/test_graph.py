@@ -175,3 +175,15 @@ def test_call_links_meets_only_the_names_that_link(spark, tmp_path):
     hot = spark.range(40000).selectExpr("3000L AS l_partkey", "id + 10 AS l_orderkey", "cast(1 + id % 2 AS int) AS l_linenumber")
     hot.union(spark.createDataFrame([(7, 3, 1), (7, 1, 2)], hot.schema)).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in graphs.call_links(spark, str(tmp_path)).collect()] == [(1, 3)]
+
+
+def test_a_large_group_is_ordered_and_packed_in_time(spark):
+    import time
+
+    n = 40000
+    files = spark.range(n).selectExpr("'g' AS group", "format_string('f%06d', id) AS file", "id % 7 = 0 AS is_test")
+    imports = spark.range(n - 1).selectExpr("'g' AS group", "format_string('f%06d', id) AS a", "format_string('f%06d', id + 1) AS b")
+    start = time.monotonic()
+    placed = {r.file: r.place for r in graph.order_files(files, imports).collect()}
+    assert placed["f000001"] > placed["f000002"] and sorted(placed.values()) == list(range(n))
+    assert time.monotonic() - start < 60
