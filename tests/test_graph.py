@@ -186,4 +186,7 @@ def test_a_large_group_is_ordered_and_packed_in_time(spark):
     start = time.monotonic()
     placed = {r.file: r.place for r in graph.order_files(files, imports).collect()}
     assert placed["f000001"] > placed["f000002"] and sorted(placed.values()) == list(range(n))
+    items = files.selectExpr("group", "file AS item", "500L + cast(substr(file, 2) AS long) % 100 AS tokens")
+    packed = graph.pack_items(items, imports.withColumn("weight", imports.a.substr(2, 6).cast("double") * 0 + 1), 900).collect()
+    assert len({r.bin for r in packed}) == n
     assert time.monotonic() - start < 60
