@@ -51,3 +51,10 @@ def test_impact(spark):
     assert found == {"put": ([("lib/near.ts", 2, "caller"), ("lib/near.ts", 4, "caller"), ("app/far.ts", 4, "deep")], 0), "drop": ([], 0)}
     short = symbols.impact(names, rows, symbols.postings(rows), changed, listed=1).filter("name = 'put'").first()
     assert len(short.sites) == 1 and short.more == 1
+
+
+def test_names_are_not_shuffled(spark):
+    index = symbols.postings(spark.createDataFrame([("r", "a.ts", "alpha alpha beta\nalpha")], FILES))
+    assert {(r.name, tuple(r.gaps), tuple(r.kinds)) for r in index.collect()} == {("alpha", (1, 1), (0, 0)), ("beta", (1,), (0,))}
+    exchanges = [x for x in index._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert exchanges and all("name#" not in x for x in exchanges)
