@@ -190,3 +190,18 @@ def test_a_large_group_is_ordered_and_packed_in_time(spark):
     packed = graph.pack_items(items, imports.withColumn("weight", imports.a.substr(2, 6).cast("double") * 0 + 1), 900).collect()
     assert len({r.bin for r in packed}) == n
     assert time.monotonic() - start < 60
+
+
+def test_enclosing_declarations_of_a_long_file(spark):
+    rng, lines = random.Random(3), []
+    for at in range(1, 400):
+        lines.append(("a", at, rng.choice([None, 0, 1, 2, 3]), rng.choice([None, f"n{at}"]), rng.random() < 0.5))
+    kind = "file string, at long, indent int, name string, wanted boolean"
+    want = set()
+    for _, at, indent, _, wanted in lines:
+        over = [(a, n) for _, a, i, n, _ in lines if at - 20 <= a <= at and n and i is not None and (indent is None or i <= indent)]
+        want |= {("a", at, over[-1][1], over[-1][0])} if wanted and over else set()
+    assert {tuple(r) for r in graph.enclosing(spark.createDataFrame(lines, kind), ["file"], 20).collect()} == want
+    # 100,000 declarations, all of them wanted: comparing each with each would be 10,000,000,000 steps
+    many = spark.range(1, 100001).selectExpr("'b' AS file", "id AS at", "cast(id % 7 AS int) AS indent", "concat('n', id) AS name", "true AS wanted")
+    assert graph.enclosing(many, ["file"]).count() == 100000
