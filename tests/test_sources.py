@@ -171,3 +171,9 @@ def test_redacted_lines_makes_random_tokens(spark, tmp_path):
 
     spark.createDataFrame([(9161,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert [tuple(r) for r in scalars.redacted_lines(spark, str(tmp_path)).collect()] == [(9161, "a [REDACTED] b")]
+
+
+def test_only_an_id_of_zeros_is_uncommitted(spark):
+    lines = [("0000c4" + "1" * 34, 5, "real")] * 3 + [("2" * 40, 9, "other")] * 2 + [("0" * 40, 9, "none")] * 9
+    rows = spark.createDataFrame([("k", *x) for x in lines], "k string, commit string, author_time long, author string")
+    assert [tuple(r) for r in diffs.dominant_blame(rows, ["k"]).collect()] == [("k", "0000c4" + "1" * 34, "real", 3)]
