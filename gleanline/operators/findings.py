@@ -84,14 +84,15 @@ def finalize_hits(hits: DataFrame, files: DataFrame, per_rule: int = PER_RULE) -
 
     hits: file, start, end, analyzer, rule_id, severity, category, confidence, message, non_rejectable,
     dedupe_key (null: analyzer and rule); files: file, n_lines, ranges (null: the whole file), is_test.
-    The cap counts a rule's hits in a file in order of lines and leaves out those that cannot be dismissed.
+    The cap counts a rule's hits in a file in order of lines and leaves out those that cannot be dismissed; of
+    hits with one range and message the strongest come first.
     """
     rows = hits.join(files.select("file", "n_lines", "ranges", "is_test"), "file")
     rows = rows.withColumn("start", F.greatest("start", F.lit(1))).filter("start <= n_lines").withColumn("end", F.least("n_lines", F.greatest("start", "end")))
     rows = rows.filter(F.col("ranges").isNull() | near(F.col("ranges"), F.col("start"), F.col("end"), HIT_SLACK))
     sure = F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("confidence"))) * F.when(~F.col("is_test"), 1.0).when(F.col("category") == "security", 0.5).otherwise(0.8)
     rows = rows.withColumn("confidence", half_up(F.greatest(F.lit(0.05), sure), 2)).drop("n_lines", "ranges", "is_test")
-    by_rule = Window.partitionBy("file", "analyzer", "rule_id", "non_rejectable").orderBy("start", "end", "message")
+    by_rule = Window.partitionBy("file", "analyzer", "rule_id", "non_rejectable").orderBy("start", "end", "message", *strongest_first())
     capped = rows.withColumn("_n", F.row_number().over(by_rule)).filter(F.col("non_rejectable") | (F.col("_n") <= per_rule))
     spot = Window.partitionBy("file", "start", F.coalesce("dedupe_key", F.concat_ws(":", "analyzer", "rule_id"))).orderBy(*strongest_first())
     return capped.withColumn("_n", F.row_number().over(spot)).filter("_n = 1").drop("_n", "dedupe_key")

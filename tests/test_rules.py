@@ -62,3 +62,12 @@ def test_semi_and_anti_joins_keep_repeated_rows(spark):
     b = spark.createDataFrame([("k", 3, 4), ("k", 1, 1)], "key string, start_b long, end_b long")
     assert intervals.overlap_join(a, b, ["key"], 1, 16, "left_semi").count() == 2
     assert [r.start for r in intervals.overlap_join(a, b, ["key"], 1, 16, "left_anti").collect()] == [90, 90]
+
+
+def test_the_cap_keeps_the_strongest_of_equal_hits(spark):
+    schema = "file string, start long, end long, analyzer string, rule_id string, severity string, category string, confidence double, message string, non_rejectable boolean, dedupe_key string"
+    files = spark.createDataFrame([("f", 50, None, False)], "file string, n_lines long, ranges array<struct<a:bigint,b:bigint>>, is_test boolean")
+    rows = [("f", 3, 4, "a", "r", severity, "bug", confidence, "same", False, key) for severity, confidence, key in (("minor", 0.9, "x"), ("critical", 0.3, "y"), ("major", 0.5, "z"))]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        kept = findings.finalize_hits(spark.createDataFrame(some, schema).coalesce(1), files, 2).collect()
+        assert {r.severity for r in kept} == {"critical", "major"}
