@@ -49,10 +49,11 @@ def tech_versions(declared: DataFrame) -> DataFrame:
 def techs_of_files(files: DataFrame, techs: DataFrame, wide: DataFrame) -> DataFrame:
     """(file, tech): technologies of the packages that a file lies in, and those that hold for the whole repository.
 
-    files: file; techs: dir, tech ('.': everywhere); wide: tech. Packages are found by equality with a file's ancestors.
+    files: file; techs: dir, tech ('.': everywhere); wide: tech. Packages are found by equality with a file's ancestors;
+    what holds everywhere is sent to the files, which would else all meet under one key.
     """
     parts = F.split("file", "/", -1)
-    ups = files.select("file", F.explode(F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("dir"))
-    local = ups.join(techs.select("dir", "tech"), "dir").select("file", "tech")
-    everywhere = files.select("file", F.lit(".").alias("dir")).join(wide.select(F.lit(".").alias("dir"), "tech").distinct(), "dir").select("file", "tech")
+    ups = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir"))
+    local = ups.join(techs.filter("dir <> '.'").select("dir", "tech"), "dir").select("file", "tech")
+    everywhere = files.select("file").crossJoin(F.broadcast(techs.filter("dir = '.'").select("tech").unionByName(wide.select("tech")).distinct()))
     return local.unionByName(everywhere).distinct()

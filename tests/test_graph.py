@@ -205,3 +205,13 @@ def test_enclosing_declarations_of_a_long_file(spark):
     # 100,000 declarations, all of them wanted: comparing each with each would be 10,000,000,000 steps
     many = spark.range(1, 100001).selectExpr("'b' AS file", "id AS at", "cast(id % 7 AS int) AS indent", "concat('n', id) AS name", "true AS wanted")
     assert graph.enclosing(many, ["file"]).count() == 100000
+
+
+def test_what_holds_everywhere_meets_the_files_where_they_are(spark):
+    from gleanline.operators import stack
+
+    files = spark.createDataFrame([("a/b/x.ts",), ("a/y.ts",), ("z.ts",)], "file string")
+    techs = spark.createDataFrame([(".", 1), ("a", 2), ("a/b", 3), ("z.ts", 4), (".", 9)], "dir string, tech int")
+    found = stack.techs_of_files(files, techs, spark.createDataFrame([(9,), (8,)], "tech int"))
+    assert {tuple(r) for r in found.collect()} == {(f, t) for f in ("a/b/x.ts", "a/y.ts", "z.ts") for t in (1, 8, 9)} | {("a/b/x.ts", 2), ("a/b/x.ts", 3), ("a/y.ts", 2), ("z.ts", 4)}
+    assert "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
