@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 LONG_RUN, SPACE_EACH, OTHER_EACH, MARGIN = 256, 8, 3, 1.15
 # What counts as a space.
 _SPACE = r"\x20\x09-\x0D\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-_LONG_SPACE, _LONG_OTHER = f"[{_SPACE}]{{{LONG_RUN},}}", f"[^{_SPACE}]{{{LONG_RUN},}}"
+#: Runs are taken whole and never given back, so each character is looked at a few times however long its run is.
+_SHORT = re.compile(f"(?:[^{_SPACE}]{{1,{LONG_RUN - 1}}}+(?![^{_SPACE}])|[{_SPACE}]{{1,{LONG_RUN - 1}}}+(?![{_SPACE}]))*+")
+_RUN = re.compile(f"[^{_SPACE}]++|([{_SPACE}]++)")
 
 
 @lru_cache(maxsize=4)
@@ -42,12 +45,26 @@ def exact(text: Column, path: str, pattern: str) -> Column:
     return F.pandas_udf(count, "long")(text)
 
 
+def _pieces(text: str) -> tuple[list[str], int]:
+    """What lies between the long runs of a text, and what those runs cost."""
+    pieces, cost, at = [], 0, 0
+    while (end := _SHORT.match(text, at).end()) < len(text):
+        run = _RUN.match(text, end)
+        pieces.append(text[at:end])
+        cost, at = cost - -(run.end() - end) // (SPACE_EACH if run[1] else OTHER_EACH), run.end()
+    return [p for p in (*pieces, text[at:]) if p], cost
+
+
 def estimate(text: Column, path: str, pattern: str) -> Column:
     """What a text costs: its tokens and a margin of 15 %. Runs of spaces or of anything else of 256 characters or more (code points) count by their length, so no text is slow to merge.
 
-    A null or empty text costs 0. Runs are found and cut out in the JVM; the rest goes to the encoder in Arrow batches.
+    A null or empty text costs 0. Runs are found and the rest is counted in one pass over Arrow batches.
     """
-    by_length = lambda run, each: F.aggregate(F.regexp_extract_all(text, F.lit(run), F.lit(0)), F.lit(0).cast("long"), lambda n, r: n + F.ceil(F.length(r) / each))
-    pieces = F.filter(F.split(text, f"{_LONG_SPACE}|{_LONG_OTHER}", -1), lambda p: p != "")
-    runs = F.when(text.rlike(f"{_LONG_SPACE}|{_LONG_OTHER}"), by_length(_LONG_SPACE, SPACE_EACH) + by_length(_LONG_OTHER, OTHER_EACH)).otherwise(F.lit(0).cast("long"))
-    return F.coalesce(F.ceil((exact(pieces, path, pattern) + runs) * F.lit(MARGIN)).cast("long"), F.lit(0).cast("long"))
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = vocabulary(path, pattern)
+        for batch in batches:
+            found = [_pieces(t or "") for t in batch]
+            yield pd.Series([n + sum(len(encoder.encode_ordinary(p)) for p in pieces) for pieces, n in found], dtype="int64")
+
+    return F.ceil(F.pandas_udf(count, "long")(text) * F.lit(MARGIN)).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from itertools import groupby
 
 import public_tokenizers
@@ -47,3 +48,13 @@ def test_all_documents(spark):
     known = encoder()
     want = {r.doc_id: plain(known, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     assert {r.doc_id: r.tokens for r in tokenized.document_tokens(spark, SF).collect()} == want
+
+
+def test_runs_just_short_of_long_ones_are_looked_at_once(spark):
+    text = ("x" * 250 + " " * 250) * 8000
+    rows = spark.createDataFrame([(0, text), (1, text + "x" * 6 + "y" * 256)], "k int, text string")
+    cost = tokenizing.estimate(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    began = time.time()
+    got = {r.k: r.tokens for r in rows.select("k", cost.alias("tokens")).collect()}
+    assert time.time() - began < 30
+    assert got == {k: plain(encoder(), t) for k, t in rows.collect()}
