@@ -13,9 +13,9 @@ PARTS = 6
 
 def parse(text: Column) -> Column:
     """The leading numbers of a version ('v15.1.0-rc.1' is 15, 1, 0), padded with zeros; null without any."""
-    found = F.regexp_extract(text, r"^\s*v?([0-9]+(?:\.[0-9]+)*)", 1)
-    parts = F.transform(F.split(found, r"\.", -1), lambda x: x.try_cast("bigint"))
-    return F.when(found != "", F.array(*(F.coalesce(F.get(parts, F.lit(k)), F.lit(0)) for k in range(PARTS))))
+    found = F.nullif(F.regexp_extract(text, r"^\s*v?([0-9]+(?:\.[0-9]+)*)", 1), F.lit(""))
+    parts = F.transform(F.split(found, r"\.", -1), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), PARTS)), 1, PARTS)
 
 
 def _key(version: list[int]) -> Column:
@@ -57,9 +57,9 @@ def _one(token: str, key: Column) -> Column:
     return low & (key < after)
 
 
-def satisfies(version: Column, range_: str) -> Column:
-    """Whether a version text lies in a range: >= > <= < = ^ ~, wildcards, spaces for and, || for or."""
-    key, out = parse(version), F.lit(False)
+def lies(key: Column, range_: str) -> Column:
+    """Whether a version that parse() made lies in a range: >= > <= < = ^ ~, wildcards, spaces for and, || for or. Each bound looks at key anew, so it should be a column of its own."""
+    out = F.lit(False)
     for choice in range_.split("||"):
         tokens = [t for t in re.split(r"[\s,]+", re.sub(r"(>=|<=|>|<|=|\^|~)\s+", r"\1", choice.strip())) if t]
         if not tokens:
@@ -71,6 +71,11 @@ def satisfies(version: Column, range_: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def satisfies(version: Column, range_: str) -> Column:
+    """Whether a version text lies in a range, as in lies(); the text is read once, whatever the number of bounds."""
+    return F.get(F.transform(F.array(parse(version)), lambda key: lies(key, range_)), F.lit(0))
+
+
 def least_of(spec: Column) -> Column:
     """The least version that a dependency's specification allows, as text; null for tags, addresses and bare upper bounds."""
     s = F.regexp_replace(F.regexp_replace(F.trim(spec), "^workspace:", ""), "^npm:(?:@[^/@]+/)?[^@]+@", "")

@@ -177,3 +177,8 @@ def test_only_an_id_of_zeros_is_uncommitted(spark):
     lines = [("0000c4" + "1" * 34, 5, "real")] * 3 + [("2" * 40, 9, "other")] * 2 + [("0" * 40, 9, "none")] * 9
     rows = spark.createDataFrame([("k", *x) for x in lines], "k string, commit string, author_time long, author string")
     assert [tuple(r) for r in diffs.dominant_blame(rows, ["k"]).collect()] == [("k", "0000c4" + "1" * 34, "real", 3)]
+
+
+def test_a_version_is_read_once_for_all_bounds(spark):
+    plan = spark.range(1).select(versions.satisfies(F.col("id").cast("string"), "^1.2.3 || >=2 <3 || ~4.1 || 5.x || <=0.3").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
