@@ -74,17 +74,25 @@ def ruff(reports: DataFrame, key: str, text: str) -> DataFrame:
 
 def cppcheck(reports: DataFrame, key: str, text: str) -> DataFrame:
     """The XML report, whose errors hold at least one location; the first one counts."""
-    error = r"<error\b([^>]*?)(?:/>|>([\s\S]*?)</error>)"
-    rows = reports.select(key, F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(error), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(error), F.lit(2)).alias("b"))).alias("e"))
-    place = F.regexp_extract("e.b", r"<location\b([^>]*?)/?>", 1)
+    # errors without content have no location; each other one ends its own piece, as all matches of one pattern would copy the report for each
+    filled = F.regexp_replace(text, r"<error\b[^>]*+(?<=/)>", " ")
+    pieces = F.transform(F.filter(F.split(filled, "(?<=</error>)", -1), lambda p: F.endswith(p, F.lit("</error>"))), lambda p: F.substring_index(p, "</error>", 1))
+    # outer, as Spark would otherwise read a report once more to see whether it has any error
+    rows = reports.select(key, F.explode_outer(pieces).alias("e")).filter("e IS NOT NULL")
 
     def attribute(of: Column, name: str) -> Column:
         raw = F.regexp_extract(of, rf'(?:^|\s){name}="([^"]*)"', 1)
         for entity, plain in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
             raw = F.replace(raw, F.lit(entity), F.lit(plain))
-        return F.when(raw != "", raw)
-
-    named = rows.select(key, *(attribute(F.col("e.a"), n).alias(n) for n in ("id", "severity", "msg", "verbose", "cwe")), attribute(place, "file").alias("file"), attribute(place, "line").try_cast("long").alias("line"))
+        return F.nullif(raw, F.lit(""))
+
+    # each attribute is read once: behind an explode no filter or later column works it out anew
+    once = lambda rows, *columns: rows.select(key, F.explode_outer(F.array(F.struct(*columns))).alias("_n")).select(key, "_n.*")
+    tag = lambda of, name: F.get(F.split(of, rf"<{name}\b", 2), F.lit(1))
+    opened = once(rows, tag(F.col("e"), "error").alias("e"))
+    cut = once(opened, F.substring_index("e", ">", 1).alias("a"), tag(F.substring(F.col("e"), F.instr("e", F.lit(">")) + 1, F.length("e")), "location").alias("b"))
+    place = F.when(F.contains("b", F.lit(">")), F.substring_index("b", ">", 1))
+    named = once(cut, *(attribute(F.col("a"), n).alias(n) for n in ("id", "severity", "msg", "verbose", "cwe")), attribute(place, "file").alias("file"), attribute(place, "line").try_cast("long").alias("line"))
     kind = F.col("severity")
     known = kind.isin("error", "warning", "performance", "portability") & ~F.coalesce("id", F.lit("unknown")).rlike(CPPCHECK_NOISE) & (F.col("line") >= 1)
     severity = F.when(kind == "error", "major").when(kind == "portability", "info").otherwise("minor")

@@ -182,3 +182,11 @@ def test_only_an_id_of_zeros_is_uncommitted(spark):
 def test_a_version_is_read_once_for_all_bounds(spark):
     plan = spark.range(1).select(versions.satisfies(F.col("id").cast("string"), "^1.2.3 || >=2 <3 || ~4.1 || 5.x || <=0.3").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == 1
+
+
+def test_cppcheck_errors_are_each_read_in_their_own_piece(spark):
+    xml = '<results><errors>\n<error id="none" severity="error"/>\n<error id="a&lt;" severity="warning" msg="m" cwe="787"><symbol>s</symbol><location line="3" file="x.c"/><location file="y.c" line="9"/></error>\n<error id="b" severity="error"><error id="in" severity="error"/><location file="z.c" line="4"></location></error><error id="c" severity="error"></error><error id="d" severity="error"><location file="w.c" line="1"</error></errors>'
+    found = reports.cppcheck(spark.createDataFrame([(1, xml), (2, None), (3, "")], "k int, text string"), "k", "text")
+    assert {(r.k, r.rule_id, r.file, r.start, r.severity, r.category, r.message) for r in found.collect()} == {(1, "a<", "x.c", 3, "minor", "security", "m"), (1, "b", "z.c", 4, "major", "bug", "b")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 7 and "regexp_extract_all(" not in plan
