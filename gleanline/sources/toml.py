@@ -1,9 +1,9 @@
 """TOML files as rows, and the dependencies and versions that TOML manifests, version files and lock files declare.
 
 A file is cut into lexical pieces (strings, comments, brackets, line ends, the rest) by one pattern.
-Running sums over the pieces give the bracket depth and from it the statements: a line's end at depth
-0 ends one, so arrays and inline tables may span lines and strings may hold anything. All windows and
-groups are by file and so share one shuffle; a file is bounded (sources.code.MAX_FILE).
+The bracket depth gives the statements: a line's end at depth 0 ends one, so arrays and inline tables
+may span lines and strings may hold anything. A file is read where it lies, in Arrow batches, and is
+bounded (sources.code.MAX_FILE); what its entries say of one thing is gathered by Spark.
 
 Edge cases: a null or empty text and a file without entries give no rows; a file whose brackets or
 quotes don't close, or that holds a statement that is neither a header nor `key = value`, is invalid
@@ -13,15 +13,21 @@ must name a row of its own. Dates, numbers and booleans stay as written, in `raw
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from gleanline.functions.formats import java_version, node_version, python_version
 from gleanline.functions.versions import least_of
 
 # every alternative but the first two ends on its own line; none loops over groups, so long texts need no deep stack
-_PIECE = r'"""[\s\S]*?(?<!\\)"""|\'\'\'[\s\S]*?\'\'\'|"[^\n]*?(?<!\\)(?:\\\\)*+"|\'[^\'\n]*\'|#[^\n]*|[\[\]{}\n]|[^"\'#\[\]{}\n]+|["\']'
-_STRING = r'"[^\n]*?(?<!\\)(?:\\\\)*+"|\'[^\'\n]*\''
+_PIECE = r'"""[\s\S]*?(?<!\\)"""|\'\'\'[\s\S]*?\'\'\'|"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"|\'[^\'\n]*\'|#[^\n]*|[\[\]{}\n]|[^"\'#\[\]{}\n]+|["\']'
+_STRING = r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"|\'[^\'\n]*\''
 _NAME = r'"[^"\n]*"|\'[^\'\n]*\'|[A-Za-z0-9_-]+'
 _PATH = rf"(?:{_NAME})(?:[ \t]*\.[ \t]*(?:{_NAME}))*+"
 _ENTRY = rf"^({_PATH})[ \t]*=[ \t]*(\S[\s\S]*)$"
@@ -30,38 +36,93 @@ _HEADER = rf"^\[\[?[ \t]*({_PATH})[ \t]*\]\]?$"
 #: An entry of an inline table: values are taken whole, so nothing inside a string or an array is read as a key.
 _INNER = rf"({_PATH})\s*=\s*({_STRING}|\[(?:{_STRING}|[^\]\"'])*+\]|\{{(?:{_STRING}|\[(?:{_STRING}|[^\]\"'])*+\]|[^{{}}\"'\[\]])*+\}}|[^,\[\]{{}}\"'\s][^,\[\]{{}}\"'\n]*)"
 
+_PIECES, _ENTRIES, _HEADERS, _INNERS, _STRINGS = (re.compile(p, re.ASCII) for p in (_PIECE, _ENTRY, _HEADER, _INNER, _STRING))
+_EACH_NAME, _BARE, _QUOTES = re.compile(_NAME), re.compile(r"[A-Za-z0-9_.-]+"), re.compile("^[\"']|[\"']$")
+_OPTIONS, _AROUND = re.compile(r"\s-.*$", re.ASCII), re.compile(r"^\(|\)$|\\$")
+_REQUIREMENT = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?([^;]*)", re.ASCII)
+
 
-def _unquoted(literal: Column) -> Column:
+def _unquoted(literal: str) -> str | None:
     """The text of a string as it is written; null for other values."""
-    triple = F.regexp_replace(F.substring(literal, 4, F.length(literal) - 6), r"^\n", "")
-    inner = F.substring(literal, 2, F.length(literal) - 2)
-    escaped = F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
-    return F.when(literal.rlike(r'^(?:"""|\'\'\')'), triple).when(F.startswith(literal, F.lit("'")), inner).when(F.startswith(literal, F.lit('"')), F.coalesce(F.when(~F.contains(literal, F.lit("\\")), inner), escaped, inner))
+    if literal.startswith(('"""', "'''")):
+        return literal[3:-3].removeprefix("\n")
+    if literal.startswith('"') and "\\" in literal:
+        try:
+            return json.loads(f"[{literal}]")[0].encode("utf-8", "replace").decode()
+        except ValueError:
+            pass
+    return literal[1:-1] if literal.startswith(('"', "'")) else None
 
 
-def _names(path: Column) -> Column:
-    return F.transform(F.regexp_extract_all(path, F.lit(_NAME), F.lit(0)), lambda p: F.regexp_replace(p, "^[\"']|[\"']$", ""))
+def _names(path: str) -> list[str]:
+    if _BARE.fullmatch(path):
+        return path.split(".")
+    return [_QUOTES.sub("", n) for n in _EACH_NAME.findall(path)]
 
 
-def _inner(entry: Column) -> Column:
+def _inner(path: list[str], raw: str) -> list[tuple[list[str], str]]:
     """An entry (path, raw), and behind it those of its inline table."""
-    pairs = F.zip_with(F.regexp_extract_all(entry["raw"], F.lit(_INNER), F.lit(1)), F.regexp_extract_all(entry["raw"], F.lit(_INNER), F.lit(2)), lambda k, v: F.struct(F.concat(entry["path"], _names(k)).alias("path"), F.trim(v).alias("raw")))
-    return F.when(F.startswith(entry["raw"], F.lit("{")), F.concat(F.array(entry), pairs)).otherwise(F.array(entry))
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """(file, statement, text): a file's statements in order, without comments, each on one line (strings keep theirs). files: file, content."""
-    pieces = F.regexp_extract_all(F.regexp_replace("content", "\r\n?", "\n"), F.lit(_PIECE), F.lit(0))
-    each = files.select("file", F.posexplode(pieces).alias("at", "piece")).filter(~F.startswith("piece", F.lit("#")))
-    upto = Window.partitionBy("file").orderBy("at")
-    depth = F.sum(F.when(F.col("piece").isin("[", "{"), 1).when(F.col("piece").isin("]", "}"), -1).otherwise(0)).over(upto)
-    whole = Window.partitionBy("file")
-    known = each.withColumn("_depth", depth).withColumn("_end", (F.col("piece") == "\n") & (F.col("_depth") == 0))
-    sound = known.withColumn("_last", F.max_by("_depth", "at").over(whole)).withColumn("_least", F.min("_depth").over(whole)).withColumn("_open", F.max(F.col("piece").isin('"', "'")).over(whole))
-    numbered = sound.filter((F.col("_last") == 0) & (F.col("_least") >= 0) & ~F.col("_open"))
-    numbered = numbered.withColumn("statement", F.coalesce(F.sum(F.col("_end").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("piece") == "\n", " ").otherwise(F.col("piece")).alias("piece")))), lambda p: p["piece"]), "")
-    return numbered.groupBy("file", "statement").agg(F.trim(F.regexp_replace(joined, "\t", " ")).alias("text")).filter("text <> ''")
+    pairs = _INNERS.findall(raw) if raw.startswith("{") else ()
+    return [(path, raw), *((path + _names(k), v.strip(" ")) for k, v in pairs)]
+
+
+def statements(text: str) -> list[tuple[int, str]]:
+    """A text's statements with their numbers, without comments, each on one line (strings keep theirs); none if a bracket or quote doesn't close."""
+    depth, number, parts, out = 0, 0, [], []
+    for piece in _PIECES.findall(text.replace("\r\n", "\n").replace("\r", "\n")):
+        if piece == "\n":
+            if depth == 0:
+                out.append((number, "".join(parts)))
+                number, parts = number + 1, []
+            else:
+                parts.append(" ")
+        elif piece[0] != "#":
+            if piece in "[{":
+                depth += 1
+            elif piece in "]}":
+                depth -= 1
+            if depth < 0 or piece in ('"', "'"):
+                return []
+            parts.append(piece)
+    out.append((number, "".join(parts)))
+    tidy = ((n, t.replace("\t", " ").strip(" ")) for n, t in out)
+    return [(n, t) for n, t in tidy if t] if depth == 0 else []
+
+
+def read(text: str | None) -> list[tuple]:
+    """(statement, element, path, raw, value, items) of a text's entries, see entries(); none if a statement can't be read."""
+    top, element, met, out = [], None, {}, []
+    for number, line in statements(text or ""):
+        header = line.startswith("[")
+        found = (_HEADERS if header else _ENTRIES).match(line)
+        if not found:
+            return []
+        if header:
+            # the n-th header of its name, counted within the file
+            top, element = _names(found[1]), None
+            if line.startswith("[["):
+                element = met[tuple(top)] = met.get(tuple(top), 0) + 1
+            continue
+        first, *within = _inner(top + _names(found[1]), found[2].strip(" "))
+        for path, raw in (first, *(x for w in within for x in _inner(*w))):
+            out.append((number, element, path, raw, _unquoted(raw), [_unquoted(x) for x in _STRINGS.findall(raw)] if raw.startswith("[") else None))
+    return out
+
+
+def _each_file(files: DataFrame, of: Callable[[str, str | None], Iterable[tuple]], schema: pa.Schema) -> DataFrame:
+    """The rows that of(file, content) gives of each file, in Arrow batches."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows = [row for file, text in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True) for row in of(file, text)]
+            columns = zip(*rows, strict=True) if rows else ([],) * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return files.select("file", "content").mapInArrow(batches, from_arrow_schema(schema))
+
+
+_LIST = pa.list_(pa.string())
+_ROWS = pa.schema([("file", pa.string()), ("statement", pa.int64()), ("element", pa.int64()), ("path", _LIST), ("raw", pa.string()), ("value", pa.string()), ("items", _LIST)])
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -70,32 +131,17 @@ def entries(files: DataFrame) -> DataFrame:
     path: the table's and the key's names; element: which of the tables of a `[[header]]`, from 1, else
     null; value: a string's text; items: the strings of an array; raw: the value as written.
     """
-    s = statements(files)
-    header = F.startswith("text", F.lit("["))
-    name = F.when(header, _names(F.regexp_extract("text", _HEADER, 1)))
-    listed = F.startswith("text", F.lit("[["))
-    shaped = s.withColumn("_header", header).withColumn("_name", name).withColumn("_listed", listed).withColumn("_bad", F.when(header, ~F.col("text").rlike(_HEADER)).otherwise(~F.col("text").rlike(_ENTRY)))
-    known = shaped.withColumn("_broken", F.max("_bad").over(Window.partitionBy("file"))).filter(~F.col("_broken"))
-    upto = Window.partitionBy("file").orderBy("statement")
-    # the n-th header of its name, counted within the file, is carried down to the entries below it
-    element = F.when(F.col("_listed"), F.sum(F.col("_listed").cast("int")).over(Window.partitionBy("file", F.col("_name")).orderBy("statement")))
-    headed = known.withColumn("_top", F.when(header, F.struct(F.col("_name").alias("name"), element.alias("element"))))
-    placed = headed.withColumn("_top", F.last("_top", ignorenulls=True).over(upto)).filter(~F.col("_header"))
-    path = F.concat(F.coalesce("_top.name", F.array().cast("array<string>")), _names(F.regexp_extract("text", _ENTRY, 1)))
-    # path and value are columns of their own, as functions over arrays would work them out for each element
-    split = placed.select("file", "statement", F.col("_top.element").alias("element"), path.alias("_path"), F.trim(F.regexp_extract("text", _ENTRY, 2)).alias("_raw"))
-    first = split.withColumn("_first", _inner(F.struct(F.col("_path").alias("path"), F.col("_raw").alias("raw"))))
-    twice = F.flatten(F.transform("_first", lambda e, k: F.when(k > 0, _inner(e)).otherwise(F.array(e))))
-    rows = first.select("file", "statement", "element", F.explode(twice).alias("e")).select("file", "statement", "element", "e.path", "e.raw")
-    items = F.when(F.startswith("raw", F.lit("[")), F.transform(F.regexp_extract_all("raw", F.lit(_STRING), F.lit(0)), _unquoted))
-    return rows.select("*", _unquoted(F.col("raw")).alias("value"), items.alias("items"))
-
-
-def _requirement(line: Column) -> Column:
+    return _each_file(files, lambda file, text: ((file, *e) for e in read(text)), _ROWS)
+
+
+def _requirement(line: str) -> tuple[str, str | None]:
     """(name, spec) of a Python requirement, spec null for one without versions or at an address."""
-    rest = F.trim(F.regexp_replace(F.regexp_extract(line, r"^\s*[A-Za-z0-9][A-Za-z0-9._-]*\s*(?:\[[^\]]*\])?([^;]*)", 1), r"\s-.*$", ""))
-    bare = F.trim(F.regexp_replace(rest, r"^\(|\)$|\\$", ""))
-    return F.struct(F.regexp_extract(line, r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1).alias("name"), F.when((bare != "") & ~F.startswith(rest, F.lit("@")), bare).alias("spec"))
+    found = _REQUIREMENT.match(line)
+    if not found:
+        return "", None
+    rest = _OPTIONS.sub("", found[2]).strip(" ")
+    bare = _AROUND.sub("", rest).strip(" ")
+    return found[1], bare if bare and not rest.startswith("@") else None
 
 
 #: (kind of file, tables whose keys are dependencies, ecosystem, for development); '*' is any one name.
@@ -108,6 +154,9 @@ _TABLES = [
 ]
 #: Likewise for arrays of requirements.
 _LISTS = [("pyproject", "project.dependencies", False), ("pyproject", "project.optional-dependencies.*", True), ("pyproject", "dependency-groups.*", True), ("pyproject", "tool.uv.dev-dependencies", True), ("pyproject", "tool.pdm.dev-dependencies", True)]
+#: Both by kind; a catalog's shared versions are gathered like dependencies of no ecosystem.
+_PLACES = {kind: [(p.split("."), eco, dev) for k, p, eco, dev in [*_TABLES, ("catalog", "versions", "", False)] if k == kind] for kind in ("pyproject", "pipfile", "cargo", "catalog")}
+_LISTED = {"pyproject": [(p.split("."), dev) for _, p, dev in _LISTS]}
 #: (kind, path, technology, what it is called) of the versions of a language.
 _VERSIONS = [
     ("pyproject", "project.requires-python", "lang.python", "requires-python"), ("pyproject", "tool.poetry.dependencies.python", "lang.python", "tool.poetry python"), ("pyproject", "tool.poetry.dependencies.python.version", "lang.python", "tool.poetry python"),
@@ -116,23 +165,37 @@ _VERSIONS = [
 ]
 
 
-def _kind() -> Column:
-    base = F.regexp_extract("file", "([^/]*)$", 1)
-    return F.when(base == "pyproject.toml", "pyproject").when(base == "Pipfile", "pipfile").when(base == "Cargo.toml", "cargo").when(base.rlike(r"\.versions\.toml$"), "catalog")
+def _kind(file: str) -> str | None:
+    base = file.rpartition("/")[2]
+    return {"pyproject.toml": "pyproject", "Pipfile": "pipfile", "Cargo.toml": "cargo"}.get(base) or ("catalog" if base.endswith(".versions.toml") else None)
 
 
-def _lies(path: Column, pattern: str) -> Column:
+def _lies(path: list[str], names: list[str]) -> bool:
     """Whether a path begins with the names of a pattern."""
-    names = pattern.split(".")
-    test = F.size(path) >= len(names)
-    for k, name in enumerate(names):
-        if name != "*":
-            test = test & (F.get(path, F.lit(k)) == name)
-    return test
+    for name, own in zip(names, path, strict=False):
+        if name != own and name != "*":
+            return False
+    return len(path) >= len(names)
+
 
+_CLAIMS = pa.schema([("file", pa.string()), ("kind", pa.string()), ("_s", pa.int64()), ("n", pa.int64()), ("at", _LIST), ("eco", pa.string()), ("dev", pa.bool_()), ("inner", pa.string()), ("value", pa.string()), ("items", _LIST)])
 
-def _manifests(files: DataFrame) -> DataFrame:
-    return entries(files.filter(_kind().isNotNull())).withColumn("kind", _kind())
+
+def _claims(file: str, text: str | None) -> Iterator[tuple]:
+    """What a manifest says of one thing: a requirement's line is one by itself, a table's keys are gathered by the place of their thing."""
+    kind = _kind(file)
+    tables, lists = _PLACES.get(kind, ()), _LISTED.get(kind, ())
+    for statement, _, path, _, value, items in read(text) if kind else ():
+        place = next((t for t in tables if len(path) > len(t[0]) and _lies(path, t[0])), None)
+        if place:
+            names, eco, dev = place
+            n = len(names)
+            yield file, kind, 0, 0, path[: n + 1], eco, dev, ".".join(path[n + 1 :]), value, items
+            continue
+        dev = next((dev for names, dev in lists if len(path) == len(names) and _lies(path, names)), None)
+        if dev is not None:
+            for k, (name, spec) in enumerate(map(_requirement, items or ())):
+                yield file, kind, statement, k + 1, [*path, name], "pypi", dev, "", spec, None
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -141,17 +204,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     A dependency's version is its string, its table's `version`, or what a catalog's `ref` points at;
     `package` gives a crate's real name and its features follow as name[feature].
     """
-    rows = _manifests(files)
-    path = F.col("path")
-    dev = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p) & (F.size(path) == len(p.split("."))), F.lit(dev)) for kind, p, dev in _LISTS))
-    place = F.coalesce(*(F.when((F.col("kind") == kind) & _lies(path, p + ".*"), F.struct(F.lit(len(p.split("."))).alias("depth"), F.lit(eco).alias("eco"), F.lit(dev).alias("dev"))) for kind, p, eco, dev in [*_TABLES, ("catalog", "versions", "", False)]))
-    marked = rows.withColumn("_dev", dev).withColumn("_place", place).filter("_dev IS NOT NULL OR _place IS NOT NULL")
-    # what is said of one thing: a requirement's line is one by itself, a table's keys are gathered by the place of their thing
-    claim = lambda n, at, eco, dev, inner, value, items: F.struct(n.alias("n"), at.alias("at"), eco.alias("eco"), dev.alias("dev"), inner.alias("inner"), value.alias("value"), items.alias("items"))
-    none = F.lit(None).cast("array<string>")
-    lines = F.transform(F.transform("items", _requirement), lambda r, k: claim(k + 1, F.concat(path, F.array(r["name"])), F.lit("pypi"), F.col("_dev"), F.lit(""), r["spec"], none))
-    keys = F.array(claim(F.lit(0), F.expr("slice(path, 1, _place.depth + 1)"), F.col("_place.eco"), F.col("_place.dev"), F.array_join(F.expr("slice(path, _place.depth + 2, size(path))"), "."), F.col("value"), F.col("items")))
-    said = marked.select("file", "kind", F.when(F.col("_place").isNotNull(), F.lit(0)).otherwise(F.col("statement")).alias("_s"), F.explode(F.when(F.col("_place").isNotNull(), keys).otherwise(lines)).alias("c")).select("file", "kind", "_s", "c.*")
+    said = _each_file(files, _claims, _CLAIMS).repartition("file")
     of = lambda *names: F.coalesce(*(F.max(F.when(F.col("inner") == n, F.col("value"))) for n in names))
     wide = said.groupBy("file", "kind", "_s", "n", "at", "eco", "dev").agg(of("").alias("own"), of("version", "version.require", "version.strictly", "version.prefer").alias("version"), of("require", "strictly", "prefer").alias("rich"), of("version.ref").alias("ref"), of("package").alias("package"), of("module").alias("module"), of("group").alias("group"), of("name").alias("artifact"), of("id").alias("id"), F.max(F.when(F.col("inner") == "features", F.col("items"))).alias("features"))
     # a shared version and those that point at it lie side by side
@@ -166,11 +219,12 @@ def dependencies(files: DataFrame) -> DataFrame:
     id_ = F.coalesce(F.when(F.get(parts, F.lit(0)) != "", F.get(parts, F.lit(0))), F.when(F.col("own").isNull(), F.col("id")))
     name = F.when(F.col("kind") != "catalog", F.coalesce("package", key)).when(plugin, F.concat(F.lit("plugin:"), id_)).otherwise(library)
     spec = F.when(F.col("kind") != "catalog", F.coalesce("own", "version")).otherwise(F.coalesce(F.when(plugin, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(2))), "version", "pointed"))
-    called = full.select("file", "eco", name.alias("name"), F.trim(spec).alias("spec"), "dev", F.when(F.col("kind") == "cargo", F.col("features")).alias("features")).filter("name IS NOT NULL")
-    thing = F.struct("name", "spec")
-    features = F.transform(F.coalesce("features", F.array().cast("array<string>")), lambda f: F.struct(F.concat("name", F.lit("["), f, F.lit("]")).alias("name"), F.lit(None).cast("string").alias("spec")))
-    found = called.select("file", "eco", F.explode(F.concat(F.array(thing), features)).alias("t"), "dev").select("file", "eco", "t.*", "dev")
-    return found.select("file", "eco", F.when(F.col("eco") == "pypi", F.lower(F.regexp_replace("name", "[-_.]+", "-"))).otherwise(F.col("name")).alias("name"), F.when(F.col("spec") != "", F.col("spec")).alias("spec"), "dev")
+    # a crate's features are rows of their own before its name is put together, which would else be written out at each use
+    own_and_features = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.when(F.col("kind") == "cargo", F.col("features")), F.array().cast("array<string>")))
+    each = full.withColumn("_feature", F.explode(own_and_features))
+    called = each.select("file", "eco", name.alias("name"), F.trim(F.when(F.col("_feature").isNull(), spec)).alias("spec"), "dev", "_feature").filter("name IS NOT NULL")
+    plain = F.concat("name", F.coalesce(F.concat(F.lit("["), "_feature", F.lit("]")), F.lit("")))
+    return called.select("file", "eco", F.when(F.col("eco") == "pypi", F.lower(F.regexp_replace("name", "[-_.]+", "-"))).otherwise(plain).alias("name"), F.when(F.col("spec") != "", F.col("spec")).alias("spec"), "dev")
 
 
 def _leading(text: Column) -> Column:
@@ -180,7 +234,10 @@ def _leading(text: Column) -> Column:
 
 def toml_versions(files: DataFrame) -> DataFrame:
     """(file, tech, version, what): the language versions that pyproject.toml, Pipfile and Cargo.toml declare."""
-    rows = _manifests(files).filter("value IS NOT NULL").withColumn("_at", F.array_join("path", "."))
+    base = F.regexp_extract("file", "([^/]*)$", 1)
+    named = {"pyproject": "pyproject.toml", "pipfile": "Pipfile", "cargo": "Cargo.toml"}
+    kind = F.coalesce(*(F.when(base == name, F.lit(k)) for k, name in named.items()))
+    rows = entries(files.filter(base.isin(*named.values()))).filter("value IS NOT NULL").withColumn("kind", kind).withColumn("_at", F.array_join("path", "."))
     which = F.coalesce(*(F.when((F.col("kind") == kind) & (F.col("_at") == at), F.struct(F.lit(tech).alias("tech"), F.lit(what).alias("what"))) for kind, at, tech, what in _VERSIONS))
     version = F.when(F.col("kind") == "pyproject", least_of(F.col("value"))).otherwise(_leading(F.col("value")))
     return rows.select("file", which.alias("w"), version.alias("version")).filter("w IS NOT NULL AND version IS NOT NULL").select("file", "w.tech", "version", "w.what")

@@ -107,3 +107,9 @@ def test_version_files_and_locks(spark):
     assert got == {(".nvmrc", "runtime.node", "20"), ("a/.node-version", "runtime.node", "22.1.0"), (".python-version", "lang.python", "3.12.4"), (".python-version", "lang.python", "3.11"), (".python-version", "lang.python", "3.10"), ("runtime.txt", "lang.python", "3.9.1"), (".ruby-version", "lang.ruby", "3.3.5"), ("rust-toolchain.toml", "lang.rust", "1.81.0"), (".tool-versions", "runtime.node", "20.1"), (".tool-versions", "lang.java", "21.0.4"), (".tool-versions", "lang.elixir", "1.15")}
     lock = "GEM\n  remote: https://rubygems.org/\n  specs:\n    Rails (7.1.0)\n      rack (>= 2)\n    nio4r (2.5.9-x86)\n\nPLATFORMS\n  ruby\n\nDEPENDENCIES\n    odd (1.0)\n\nPATH\n  remote: .\n  specs:\n    mine (0.1)\n"
     assert {tuple(r)[1:] for r in toml.locked(read(spark, ("x/Gemfile.lock", lock), ("y.lock", lock))).collect()} == {("rails", "7.1.0"), ("nio4r", "2.5.9-x86"), ("mine", "0.1")}
+
+
+def test_files_are_read_where_they_lie(spark):
+    files = read(spark, ("Cargo.toml", '[dependencies]\nserde = "1"\n'))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(toml.entries(files)) and plan(toml.dependencies(files)).count("Exchange") == 1
