@@ -190,3 +190,8 @@ def test_cppcheck_errors_are_each_read_in_their_own_piece(spark):
     assert {(r.k, r.rule_id, r.file, r.start, r.severity, r.category, r.message) for r in found.collect()} == {(1, "a<", "x.c", 3, "minor", "security", "m"), (1, "b", "z.c", 4, "major", "bug", "b")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 7 and "regexp_extract_all(" not in plan
+
+
+def test_logs_are_not_sorted_to_meet_their_rules(spark):
+    rows = spark.createDataFrame([("r", "f", 1, 2, "major", "bug", 0.5, "t", None, None, "x")], "run string, file string, start long, end long, severity string, category string, confidence double, title string, analyzer string, rule_id string, fingerprint string")
+    assert "SortMergeJoin" not in sinks.sarif(rows, "run")._jdf.queryExecution().executedPlan().toString()
