@@ -114,18 +114,17 @@ def eslint(reports: DataFrame, key: str, text: str) -> DataFrame:
 
 def tsc(reports: DataFrame, key: str, text: str) -> DataFrame:
     """Compiler messages of the form file(line,column): error TS1: text; indented lines behind one belong to its text."""
-    from pyspark.sql import Window
-
     head = r"^(.+?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.*)$"
-    rows = reports.select(key, F.posexplode(F.split(text, "\r?\n", -1)).alias("pos", "line"))
-    is_head = F.col("line").rlike(head)
-    rows = rows.withColumn("n", F.count_if(is_head).over(Window.partitionBy(key).orderBy("pos"))).filter("n > 0")
-    more = F.when(~is_head & F.col("line").rlike(r"^\s+\S"), F.struct("pos", F.trim("line").alias("t")))
-    each = rows.groupBy(key, "n").agg(F.max(F.when(is_head, F.col("line"))).alias("line"), F.array_sort(F.collect_list(more)).alias("more"))
+    # a report is cut before its heads: what lies behind a head is its message's, what lies before the first is no one's
+    ahead = r"\r?\n(?=.+?\(\d+,\d+\): (?:error|warning) TS\d+: .*[\r\u0085\u2028\u2029]?(?:\r?\n|$))"
+    parts = reports.select(key, F.explode(F.split(text, ahead, -1)).alias("part"))
+    lines = parts.select(key, F.split("part", "\r?\n", -1).alias("lines")).select(key, F.get("lines", F.lit(0)).alias("line"), F.slice("lines", 2, F.size("lines")).alias("rest"))
+    more = F.transform(F.filter("rest", lambda x: x.rlike(r"^\s+\S")), lambda x: F.trim(x))
+    each = lines.filter(F.col("line").rlike(head)).select(key, "line", more.alias("more"))
     part = lambda k: F.regexp_extract("line", head, k)
     first = part(6)
     # a message takes in further lines while it has fewer than 400 characters
-    message = F.aggregate("more", first, lambda m, x: F.when(F.length(m) < 400, F.concat(m, F.lit(" "), x["t"])).otherwise(m))
+    message = F.aggregate("more", first, lambda m, x: F.when(F.length(m) < 400, F.concat(m, F.lit(" "), x)).otherwise(m))
     return _out(each, key, part(5), part(1), part(2), F.lit(None), F.when(part(4) == "error", "major").otherwise("minor"), F.lit("bug"), F.lit(0.55), message)
 
 

@@ -192,6 +192,14 @@ def test_cppcheck_errors_are_each_read_in_their_own_piece(spark):
     assert plan.count("regexp_extract(") <= 7 and "regexp_extract_all(" not in plan
 
 
+def test_compiler_messages_are_cut_without_a_shuffle(spark):
+    text = "odd\r\n  lost\r\na.ts(1,7): error TS1: one\r\n    more\n\n\tof it\nplain\nb(2).ts(3,4): warning TS22: two: error TS3: x\na.ts(1): error TS4: none\n  of two\n(9,9): error TS5: no file\nc.ts(5,6): error TS6: "
+    found = reports.tsc(spark.createDataFrame([("k", text), ("empty", ""), ("none", None)], "key string, text string"), "key", "text")
+    got = {(r.file, r.start, r.rule_id, r.message) for r in found.collect()}
+    assert got == {("a.ts", 1, "TS1", "one more \tof it"), ("b(2).ts", 3, "TS22", "two: error TS3: x of two"), ("c.ts", 5, "TS6", "")}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_logs_are_not_sorted_to_meet_their_rules(spark):
     rows = spark.createDataFrame([("r", "f", 1, 2, "major", "bug", 0.5, "t", None, None, "x")], "run string, file string, start long, end long, severity string, category string, confidence double, title string, analyzer string, rule_id string, fingerprint string")
     assert "SortMergeJoin" not in sinks.sarif(rows, "run")._jdf.queryExecution().executedPlan().toString()
