@@ -113,3 +113,5 @@ def test_files_are_read_where_they_lie(spark):
     files = read(spark, ("Cargo.toml", '[dependencies]\nserde = "1"\n'))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(toml.entries(files)) and plan(toml.dependencies(files)).count("Exchange") == 1
+    # versions need no shuffle, so a task holds no sorted pieces (declared_versions)
+    assert "Exchange" not in plan(toml.toml_versions(files)) and "Window" not in plan(toml.toml_versions(files))
