@@ -8,6 +8,7 @@ with changed ranges only what touches a changed line counts. Patterns keep to wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -168,6 +169,17 @@ def _in_scope(r: Rule) -> Column:
     return scope | paths.matches_any(F.col("path"), list(r.globs)) if r.globs else scope
 
 
+def _of_language(rules: list[Rule], tried: Callable[[int, Rule], Column]) -> Column:
+    """An array of what tried() makes of the rules in a row's scope: a row goes through the list of its own language alone, and through the rules by path."""
+    lists: dict[tuple, list[str]] = {}
+    for name in dict.fromkeys(n for r in rules for n in r.languages):
+        lists.setdefault(tuple((k, name in r.languages) for k, r in enumerate(rules) if name in r.languages or r.globs), []).append(name)
+    made = [tried(k, r) for k, r in enumerate(rules)]
+    array = lambda ks: F.array(*(made[k] if inside else F.when(paths.matches_any(F.col("path"), list(rules[k].globs)), made[k]) for k, inside in ks))
+    by_path = tuple((k, False) for k, r in enumerate(rules) if r.globs)
+    return F.coalesce(*(F.when(F.col("language").isin(*names), array(ks)) for ks, names in lists.items()), *([array(by_path)] if by_path else []))
+
+
 def lines(files: DataFrame, following: int = 0, clip: int = MAX_LINE) -> DataFrame:
     """files without content, with at (from 1), line and `text`: the line and so many following ones. No shuffle: a file's lines are cut within its row."""
     cut = F.transform(F.split("content", "\r?\n", -1), lambda x: F.substring(x, 1, clip))
@@ -183,19 +195,20 @@ def scan(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     whole = files.filter((F.length("content") <= MAX_FILE) & (F.instr("content", F.lit("\u0000")) == 0)).select("file", "path", "language", "content", "ranges")
     rows = lines(whole.withColumn("barred", _file_flags(rules)), max((r.window for r in rules), default=0)).filter("line <> ''")
     rows = rows.withColumn("comment", is_comment(F.col("language"), F.col("line")))
-    found = []
-    for k, r in enumerate(rules):
+
+    def tried(k: int, r: Rule) -> Column:
         text = F.substring_index("text", "\n", r.window + 1) if r.window else F.col("line")
         here = rf"\A[^\n]*?({r.pattern})" if r.window else None
-        hit = _in_scope(r) & (F.lit(True) if r.comments else ~F.col("comment")) & text.rlike(here or r.pattern)
+        hit = (F.lit(True) if r.comments else ~F.col("comment")) & text.rlike(here or r.pattern)
         if r.file_if or r.file_not_if:
             hit = hit & ~F.array_contains("barred", k)
         if r.not_if:
             hit = hit & ~text.rlike(r.not_if)
         last = F.col("at") + (F.size(F.split(F.regexp_extract(text, here, 1), "\n", -1)) - 1 if here else F.lit(0))
         values = (r.id, r.severity, r.category, r.confidence, r.dedupe_key)
-        found.append(F.when(hit, F.struct(*(F.lit(v).cast("double" if n == "confidence" else "string").alias(n) for n, v in zip(_FIELDS, values, strict=True)), last.alias("end"))))
-    hits = rows.select("file", "ranges", F.col("at").alias("start"), F.explode(F.array_compact(F.array(*found))).alias("h")).select("file", "ranges", "start", "h.*")
+        return F.when(hit, F.struct(*(F.lit(v).cast("double" if n == "confidence" else "string").alias(n) for n, v in zip(_FIELDS, values, strict=True)), last.alias("end")))
+
+    hits = rows.select("file", "ranges", F.col("at").alias("start"), F.explode(F.array_compact(_of_language(rules, tried))).alias("h")).select("file", "ranges", "start", "h.*")
     return hits.filter(_touched(F.col("start"), F.col("end"))).select("file", "start", "end", *_FIELDS)
 
 

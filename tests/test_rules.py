@@ -33,6 +33,18 @@ def test_scopes_comments_windows_and_changed_lines(spark):
     assert hits(spark, "") == set() and hits(spark, "a\0eval(x)") == set() and hits(spark, "x" * 1000 + " eval(y)") == set()
 
 
+def test_a_line_meets_only_the_rules_of_its_language_or_path(spark):
+    mine = [rules.Rule("a", "x", "minor", "bug", 0.5, ("go",), ("**/workflows/*",)), rules.Rule("b", "x", "minor", "bug", 0.5, ("go", "c")), rules.Rule("c", "x", "minor", "bug", 0.5, globs=("ci/*",))]
+    rows = [(1, "f", "go"), (2, "f", "c"), (3, "f", "text"), (4, "workflows/f", "c"), (5, "ci/f", "go"), (6, "ci/f", None), (7, "workflows/f", "text")]
+    files = spark.createDataFrame([(i, p, lang, "x", None) for i, p, lang in rows], SCHEMA)
+    found = {(r.file, r.rule_id) for r in rules.scan(files, mine).collect()}
+    assert found == {(1, "a"), (1, "b"), (2, "b"), (4, "a"), (4, "b"), (5, "a"), (5, "b"), (5, "c"), (6, "c"), (7, "a")}
+    # the language is asked for once a list of rules, not once a rule
+    many = [rules.Rule(f"r{k}", "x", "minor", "bug", 0.5, ("go",)) for k in range(12)]
+    tried = next(line for line in rules.scan(files, many)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "r11" in line)
+    assert tried.count("language#") == 1
+
+
 def test_at_least_sixty_rules_of_their_own():
     assert len(rules.RULES) >= 60 and len({r.id for r in rules.RULES}) == len(rules.RULES)
 
