@@ -4,6 +4,8 @@ Every specifier becomes candidate paths with their rank, whatever rule they come
 meet the files by equality and the best one that exists is taken. Rules of configurations (path
 aliases, workspaces, modules, namespaces, source roots) meet specifiers by equality too: with
 exploded prefixes, or as one configuration's list of rules. No step compares a specifier with all files.
+What a specifier leads to depends on the importer's directory and language alone, so what the files of a
+directory import alike is resolved once and then handed to each of them.
 
 Covered: script files (relative, `paths` and `baseUrl` with `extends`, workspace packages with
 `exports`), Python (relative, by source root), Go (modules, or a domain's unique trailing path),
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanline.functions.paths import ancestors, directory, inside, language
+from gleanline.operators.graph import cut
 
 # Endings that a script specifier may leave out, in their order, and source endings behind built ones.
 ENDINGS = ".ts .tsx .d.ts .js .jsx .mjs .cjs .mts .cts .vue .svelte .json".split()
@@ -208,10 +211,13 @@ def resolve(wanted: DataFrame, files: DataFrame, configs: DataFrame) -> DataFram
     wanted: repo, file, specifier, and names (of `from specifier import names`, or null); files: repo, file;
     configs: repo, file, content of the configurations. What leads nowhere, or to the importer, is left out.
     """
-    lang = language(F.col("file"))
-    rows = wanted.select("repo", "file", "specifier", "names", F.lit(0).alias("slot"), lang.alias("_l")).distinct()
+    home = directory(F.col("file"))
+    # a stand-in for all files of a directory and language that ask for the same
+    asking = F.concat_ws("/", F.when(home != ".", home), F.concat_ws("-", "_l", F.md5(F.coalesce(F.to_json("names"), F.lit("")))))
+    every = cut(wanted.select("repo", "file", "specifier", "names", language(F.col("file")).alias("_l")).withColumn("_as", asking))
+    rows = cut(every.select("repo", F.col("_as").alias("file"), "specifier", "names", F.lit(0).alias("slot"), "_l").distinct())
     of = lambda *names: rows.filter(F.col("_l").isin(*names)).drop("_l")
-    spec, home = F.col("specifier"), directory(F.col("file"))
+    spec = F.col("specifier")
     pubspecs = configs.filter(F.col("file").rlike(r"(?:^|/)pubspec\.yaml$")).select("repo", F.regexp_extract("content", r"(?m)^name:[ \t]*['\"]?(\w+)", 1).alias("name"), "file").filter("name <> ''").groupBy("repo", "name").agg(directory(F.min("file")).alias("_dir"))
     dart = of("dart").withColumn("name", F.regexp_extract("specifier", r"^package:(\w+)/", 1))
     plain = lambda p: F.array(p)
@@ -223,4 +229,5 @@ def resolve(wanted: DataFrame, files: DataFrame, configs: DataFrame) -> DataFram
     candidates = reduce(DataFrame.unionByName, ladders)
     met = candidates.join(files.select("repo", F.col("file").alias("path")).distinct(), ["repo", "path"])
     best = met.groupBy("repo", "file", "specifier", "slot").agg(F.min(F.struct("rank", "path"))["path"].alias("target")).select("repo", "file", "specifier", "target")
-    return best.unionByName(go_targets(of("go").select("repo", "file", "specifier"), files, configs)).filter("target <> file").distinct()
+    found = best.unionByName(go_targets(of("go").select("repo", "file", "specifier"), files, configs)).distinct().withColumnRenamed("file", "_as")
+    return every.select("repo", "_as", "file", "specifier").join(found, ["repo", "_as", "specifier"]).filter("target <> file").select("repo", "file", "specifier", "target").distinct()

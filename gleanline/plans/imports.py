@@ -56,4 +56,4 @@ def import_resolution(spark, sf_dir):
     fill = lambda c: F.replace(F.replace(c, F.lit("{L}"), F.col("lang")), F.lit("{m}"), F.col("m"))
     cases = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"), F.lit(n).alias("n")) for f, s, n, _ in CASES))
     wanted = docs.select("repo", "lang", "m", F.explode(cases).alias("x")).select("repo", F.concat_ws("/", "lang", fill(F.col("x.f"))).alias("file"), fill(F.col("x.s")).alias("specifier"), F.when(F.col("x.n") != "", F.split("x.n", " ")).alias("names"))
-    return resolution.resolve(cut(wanted), files.select("repo", "file"), files.filter("content IS NOT NULL"))
+    return resolution.resolve(wanted, files.select("repo", "file"), files.filter("content IS NOT NULL"))

@@ -35,3 +35,16 @@ def test_python_names_and_ambiguity(spark):
 
 def test_empty_tables(spark):
     assert resolved(spark, [], []) == set() and resolved(spark, [("a.ts", "./only", None)], []) == set()
+
+
+def test_a_directory_is_resolved_once_for_all_its_files(spark, monkeypatch):
+    asked, plain = [], resolution.script_candidates
+    monkeypatch.setattr(resolution, "script_candidates", lambda wanted, configs: asked.append(wanted) or plain(wanted, configs))
+    wanted = [(f"src/f{k}.ts", "./x", None) for k in range(5)] + [("src/x.ts", "./x", None), ("top.ts", "./src/x", None), ("top2.ts", "./src/x", None)]
+    assert resolved(spark, wanted, ["src/x.ts"]) == {(f, s, "src/x.ts") for f, s, _ in wanted if f != "src/x.ts"}
+    assert asked[0].count() == 2
+
+
+def test_two_imports_of_one_module_keep_their_names_apart(spark):
+    wanted = [("pkg/a.py", "lib", ["x"]), ("pkg/a.py", "lib", ["y"]), ("pkg/b.py", "lib", ["y"])]
+    assert resolved(spark, wanted, ["lib/x.py", "lib/y.py"]) == {("pkg/a.py", "lib", "lib/x.py"), ("pkg/a.py", "lib", "lib/y.py"), ("pkg/b.py", "lib", "lib/y.py")}
