@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
 from gleanline.operators import graph, intervals, ledger, resampling
+from gleanline.plans.facts import tasks
 from gleanline.plans.registry import query
 from gleanline.plans.reviews import table
 
@@ -75,12 +76,14 @@ k AS (SELECT p.*, p.n::DOUBLE / least(x.n, y.n) AS coupling FROM p JOIN r x ON x
 
 @query("cochange", f"WITH {_COCHANGE} SELECT a, b, n, coupling, 0.5 * least(1.0, coupling) AS weight FROM k WHERE coupling >= 0.03")
 def cochange(spark, sf_dir):
-    return graph.cochange(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_coupling=0.03)
+    lines = table(spark, sf_dir, "lineitem")
+    return graph.cochange(lines, "l_orderkey", "l_suppkey", min_coupling=0.03, tasks=tasks(lines))
 
 
 @query("affinity_components", f"WITH RECURSIVE {_COCHANGE}, e AS (SELECT a, b FROM k WHERE coupling >= 0.05), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(v, w) AS (SELECT a, a FROM u UNION SELECT u.b, reach.w FROM reach JOIN u ON u.a = reach.v) SELECT v, min(w) AS component FROM reach GROUP BY v")
 def affinity_components(spark, sf_dir):
-    return graph.components(graph.cochange(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_coupling=0.05))
+    lines = table(spark, sf_dir, "lineitem")
+    return graph.components(graph.cochange(lines, "l_orderkey", "l_suppkey", min_coupling=0.05, tasks=tasks(lines)))
 
 
 _DIRS = "SELECT page_id, string_split(url, '/') AS p FROM pages"

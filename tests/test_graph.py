@@ -215,3 +215,16 @@ def test_what_holds_everywhere_meets_the_files_where_they_are(spark):
     found = stack.techs_of_files(files, techs, spark.createDataFrame([(9,), (8,)], "tech int"))
     assert {tuple(r) for r in found.collect()} == {(f, t) for f in ("a/b/x.ts", "a/y.ts", "z.ts") for t in (1, 8, 9)} | {("a/b/x.ts", 2), ("a/b/x.ts", 3), ("a/y.ts", 2), ("z.ts", 4)}
     assert "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cochange_counts_pairs_out_of_each_commit(spark):
+    rng = random.Random(5)
+    rows = [(c, rng.choice(["a", "b", "c", "d", "e", None])) for c in range(40) for _ in range(rng.randrange(1, 6))] + [(None, "a"), (None, "b")] + [(99, f"x{k}") for k in range(7)]
+    commits = {c: {i for k, i in rows if k == c} for c, _ in rows if c is not None}
+    commits = {c: s for c, s in commits.items() if len(s) <= 4}  # a commit of too many items counts nowhere
+    revs = {i: sum(i in s for s in commits.values()) for i in "abcde"}
+    n = {(a, b): sum(a in s and b in s for s in commits.values()) for a in revs for b in revs if a < b}
+    out = graph.cochange(spark.createDataFrame(rows, "c int, i string"), "c", "i", 4, 1, 0.0, tasks=3)
+    assert {(r.a, r.b): (r.n, r.coupling) for r in out.collect()} == {p: (k, k / min(revs[x] for x in p)) for p, k in n.items() if k}
+    # pairs are made within a commit's list, not by a join of all rows with themselves: only the two counts are joined
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
