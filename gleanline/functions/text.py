@@ -15,8 +15,7 @@ def severity_rank(severity: Column) -> Column:
 
 def title_words(title: Column) -> Column:
     """The distinct lower-case words of more than two characters."""
-    parts = F.split(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9_]+", -1)
-    return F.array_distinct(F.filter(parts, lambda w: F.length(w) > 2))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0)))
 
 
 def similarity(a: Column, b: Column) -> Column:
