@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanline.plans.facts import table
+from gleanline.plans.facts import table, tasks
 from gleanline.plans.registry import query
 from gleanline.sources import toml
 
@@ -91,7 +91,9 @@ _DECLARED = " UNION ALL ".join(f"SELECT o_orderkey, {_quoted(tech)} AS tech, {_p
 @query("declared_versions", f"WITH o AS (SELECT DISTINCT o_orderkey, o_custkey FROM orders) {_DECLARED}")
 def declared_versions(spark, sf_dir):
     """The versions of languages and runtimes that version files and TOML manifests declare."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # dealt first: few rows are equal, and a split's own distinct rows would all be held before the shuffle
+    orders = orders.repartition(tasks(orders), "o_orderkey").distinct()
     choose = lambda of: F.coalesce(*(F.when(F.expr(f"o_orderkey % {len(VERSION_FILES)}") == k, of(x)) for k, x in enumerate(VERSION_FILES)))
     a, b = F.expr("string(1 + o_custkey % 40)"), F.expr("string(1 + o_orderkey % 30)")
     content = choose(lambda x: F.replace(F.replace(F.lit(x[1].replace("{{", "{").replace("}}", "}")), F.lit(_A), a), F.lit(_B), b))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanline.plans import facts
+from gleanline.plans import facts, manifests
 
 
 def test_findings_are_dealt_before_they_are_made_distinct(spark):
@@ -15,3 +15,12 @@ def test_findings_are_dealt_before_they_are_made_distinct(spark):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     parts = facts.table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     assert rows.count() == lines.select(*keys).distinct().join(parts, "l_partkey").count()
+
+
+def test_orders_are_dealt_before_they_are_made_distinct(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(manifests.toml, "file_versions", lambda files: seen.append(files) or files.selectExpr("file", "'t' AS tech", "'1' AS version", "'w' AS what"))
+    monkeypatch.setattr(manifests.toml, "toml_versions", lambda files: files.selectExpr("file", "'t' AS tech", "'1' AS version", "'w' AS what"))
+    manifests.declared_versions(spark, "/root/testdata/sf0.001")
+    steps = [s for s in seen[0]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in s or "RepartitionByExpression" in s]
+    assert ["Aggregate" in s for s in steps] == [True, False]
