@@ -25,7 +25,9 @@ _LINES = "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM li
 
 
 def _items(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    # an order's rows meet here once: what is grouped by order afterwards is not shuffled again
+    rows = rows.repartition(tasks(rows), "l_orderkey").distinct()
     return rows.withColumn("n", F.expr(_N.format(t="string"))).withColumn("s", F.expr(_S.format(t="string")))
 
 

@@ -24,3 +24,8 @@ def test_orders_are_dealt_before_they_are_made_distinct(spark, monkeypatch):
     manifests.declared_versions(spark, "/root/testdata/sf0.001")
     steps = [s for s in seen[0]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in s or "RepartitionByExpression" in s]
     assert ["Aggregate" in s for s in steps] == [True, False]
+
+
+def test_lock_files_take_one_shuffle(spark):
+    plan = manifests.locked_gems(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
