@@ -58,3 +58,29 @@ def test_names_are_not_shuffled(spark):
     assert {(r.name, tuple(r.gaps), tuple(r.kinds)) for r in index.collect()} == {("alpha", (1, 1), (0, 0)), ("beta", (1,), (0,))}
     exchanges = [x for x in index._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
     assert exchanges and all("name#" not in x for x in exchanges)
+
+
+def test_impact_needs_no_lines_of_names_that_tell_nothing(spark):
+    shared = "common()\n"
+    files = [("r", "lib/store.ts", "function put(x) {\n}\nfunction common(x) {\n}"), ("r", "lib/near.ts", f"{shared}function put(y) {{\n  put(1)\nimport put\nput {'x' * 400}"), ("r", "app/far.ts", f"store\n{shared}  put(2) put(3)"), ("r", "app/other.ts", f"{shared}put(4)"), ("r", "app/long.ts", f"put(5)\nstore {'x' * 400}")]
+    rows = spark.createDataFrame(files + [("r", f"lib/f{k}.ts", shared) for k in range(25)], FILES)
+    changed = spark.createDataFrame([("r", "lib/store.ts")], "repo string, file string")
+    of_change = symbols.definitions(rows.join(changed, ["repo", "file"], "left_semi")).selectExpr("repo", "file", "name", "'signature' AS kind", "false AS local")
+    index = symbols.names(rows)
+    assert index.columns == ["repo", "name", "file"] and index.count() == symbols.postings(rows).count()
+    found = {r.name: ([(s.path, s.at, s.inside) for s in r.sites], r.more) for r in symbols.impact(of_change, rows, index, changed).collect()}
+    assert found == {"put": ([("lib/near.ts", 3, "put"), ("app/far.ts", 3, None)], 0)}
+
+
+def test_code_files_are_the_words_four_a_line(spark, tmp_path):
+    from gleanline.plans.names import code_files
+
+    texts = {0: None, 1: "", 2: "a bc 12", **{k: " ".join(f"w{'abcdefghij'[j % 10] * (j % 5 + 2)}" for j in range(k)) for k in [*range(3, 11), 19, 20, 21, 38, 40, 61]}}
+    spark.createDataFrame([(k, t, f"s{k}", k) for k, t in texts.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in texts.items():
+        words = [w for w in (text or "").split() if len(w) >= 3 and w.isalpha()]
+        fours = [words[i : i + 4] for i in range(0, len(words), 4)]
+        lines = [f"function {x[0]}({', '.join(x[1:])}) {{" if i % 5 == 0 else f"  {x[0]}({', '.join(x[1:])});" for i, x in enumerate(fours)]
+        want[f"s{k}"] = (f"d{k % 4}/{next((w for w in words if len(w) >= 6), 'file')}.ts", "\n".join(lines), k)
+    assert {r.repo: (r.file, r.content, r.n_chars) for r in code_files(spark, str(tmp_path)).collect()} == want
