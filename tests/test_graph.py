@@ -228,3 +228,33 @@ def test_cochange_counts_pairs_out_of_each_commit(spark):
     assert {(r.a, r.b): (r.n, r.coupling) for r in out.collect()} == {p: (k, k / min(revs[x] for x in p)) for p, k in n.items() if k}
     # pairs are made within a commit's list, not by a join of all rows with themselves: only the two counts are joined
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_packing_does_not_hold_a_review(spark, monkeypatch):
+    import tracemalloc
+
+    from gleanline.operators import greedy
+
+    kept = greedy.followed
+
+    def measured(rows, keys, order, schema, follow):
+        def peak(group):
+            tracemalloc.start()
+            n = sum(1 for _ in follow(group))
+            yield "g", str(n), tracemalloc.get_traced_memory()[1]
+
+        return kept(rows, keys, order, schema, peak)
+
+    monkeypatch.setattr(greedy, "followed", measured)
+    n = 60000
+    items = spark.range(n).selectExpr("'g' AS group", "format_string('some/path/f%06d', id) AS item", "20 + id % 90 AS tokens")
+    links = spark.range(n - 3).selectExpr("'g' AS group", "id", "explode(array(1, 2, 3)) AS k").selectExpr("group", "format_string('some/path/f%06d', id) AS a", "format_string('some/path/f%06d', id + k) AS b", "0.5D AS weight")
+    (seen,) = graph.pack_items(items, links, 900).collect()
+    # a list of the rows with both directions' links takes some 100 MB
+    assert seen.item == str(n) and seen.bin < 25e6
+
+
+def test_commits_of_several_columns_and_repeated_items(spark):
+    rows = [(1, "a", x) for x in (3, 1, 2, 1, None)] + [(1, "b", x) for x in (1, 2)] + [(None, "a", x) for x in (1, 2)] + [(None, None, x) for x in (1, 2)] + [(2, "a", x) for x in range(31)] + [(2, "b", 1)]
+    found = graph.cochange(spark.createDataFrame(rows, "c long, d string, i long"), ["c", "d"], "i", min_count=1, min_coupling=0.0).collect()
+    assert {(r.a, r.b, r.n, r.coupling) for r in found} == {(1, 2, 3, 1.0), (1, 3, 1, 1.0), (2, 3, 1, 1.0)}
